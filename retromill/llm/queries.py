@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retromill.llm.components import linked_records
+from retromill.llm.mixing import mix
+from retromill.llm.neardup import similar_pairs
+from retromill.llm.packing import pack
 from retromill.llm.spans import shared_spans
+from retromill.llm.subjects import subject_areas
+from retromill.llm.terms import term_frequencies
+from retromill.llm.tokens import count_tokens
 from retromill.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +45,59 @@ def p1_found(spark, d):
 @query()
 def p2_found(spark, d):
     return shared_spans(table(spark, d, "ltr_records"))
+
+
+@query()
+def p3_found(spark, d):
+    return similar_pairs(table(spark, d, "ltr_records"))
+
+
+@query("""
+with r as (select name, upper(coalesce(ltr5, '')) as a, upper(coalesce(internal, '')) as b from (
+  select *, row_number() over (partition by name order by loaded_at desc) as n from ltr_records where name is not null) where n = 1),
+f as (select name, a as s from r union all select name, b from r),
+w as (select name, substr(s, i, 10) as term from (select name, s, unnest(range(1, length(s) - 8)) as i from f where length(s) >= 10)),
+t as (select term, count(*) as n_occ, count(distinct name) as n_records from w where regexp_full_match(term, '[ACGT]{10}') group by term)
+select term, n_occ, n_records, case when n_records = 1 then 'rare' when n_records > 0.02 * (select count(*) from r) then 'common' else 'usable' end as mark from t
+""")
+def p6_found(spark, d):
+    return term_frequencies(table(spark, d, "ltr_records"))
+
+
+@query()
+def p7_containers(spark, d):
+    return pack(count_tokens(table(spark, d, "documents"), "doc_id"), "doc_id", "n_tokens")
+
+
+def _mixture(spark, d):
+    return mix(count_tokens(table(spark, d, "documents"), "doc_id", "source"), "doc_id", table(spark, d, "mix_targets"))
+
+
+@query()
+def p8_mixture(spark, d):
+    return _mixture(spark, d)[0]
+
+
+@query()
+def p8_shares(spark, d):
+    return _mixture(spark, d)[1]
+
+
+def _subjects(spark, d):
+    return subject_areas(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+@query()
+def p9_found(spark, d):
+    return _subjects(spark, d)
+
+
+@query()
+def p9_composition(spark, d):
+    """Documents of each subject and of none, with their shares of the corpus."""
+    found = _subjects(spark, d).groupBy("doc_id").agg(F.collect_set("subject").alias("s"))
+    every = table(spark, d, "documents").select("doc_id").join(found, "doc_id", "left")
+    each = every.select(F.explode(F.coalesce("s", F.array(F.lit("none")))).alias("subject"), (1 / F.coalesce(F.size("s"), F.lit(1))).alias("part"))
+    counted = each.groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("part").alias("parts"))
+    total = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(F.broadcast(total)).select("subject", "n_documents", F.round(F.col("parts") / F.col("n"), 6).alias("share"))
