@@ -21,6 +21,7 @@ DIMS = 24
 MOST_LABELLED = 50_000
 #: least cosine to the centroid of a subject, and least weight of its terms in the document
 NEAR, MASS = 0.3, 2.0
+SEED_DOUBT = 0.5
 FEATURES = "doc_id long, terms array<int>, times array<int>"
 
 
@@ -139,13 +140,14 @@ def _sum(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch
     return out
 
 
-def _weights(by_subject: np.ndarray) -> np.ndarray:
+def _weights(by_subject: np.ndarray, least: int, doubt: float) -> np.ndarray:
     """Term weights from (documents with the term and subject, for each subject; documents with the
-    term): how far the term is kept to one subject, from 0 (in less than 45 % of its documents) to
-    1; terms of a single document have none."""
+    term): how far the term is kept to one subject, from 0 (in less than 45 % of its documents, of
+    which there are ``doubt`` more in other subjects) to 1; terms of fewer than ``least`` documents
+    have none."""
     total = by_subject[:, -1]
-    most = by_subject[:, :-1].max(axis=1) / (total + 1)
-    return np.where(total >= 2, np.clip((most - 0.45) / 0.45, 0, 1), 0)
+    most = by_subject[:, :-1].max(axis=1) / np.maximum(total + doubt, 1)
+    return np.where(total >= least, np.clip((most - 0.45) / 0.45, 0, 1), 0)
 
 
 def _count_terms(t: pa.RecordBatch, subjects: np.ndarray, total: np.ndarray) -> None:
@@ -202,7 +204,7 @@ def subject_name(c):
     return F.lower(F.trim(c))
 
 
-def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = 2, passes: int = 4, refinements: int = 3) -> DataFrame:
+def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = 3, passes: int = 4, refinements: int = 3) -> DataFrame:
     """``doc_id``, ``subject``: none, one or two rows for each document.
 
     Each document becomes the counts of its terms, hashed to 2^18 buckets. The terms are weighted by
@@ -210,8 +212,8 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     value decomposition over all documents, and a document is about the subjects whose centroids are
     near in cosine. The first centroids and weights are seeds, from at most ``MOST_LABELLED``
     labelled documents, chosen by hash, and the subjects' descriptions. They are refined: documents
-    that are near one centroid only make the next centroids, and in a second round the weights and
-    the decomposition are made from all documents as assigned by the first. What goes to the driver
+    that are near one centroid only make the next centroids, and in each further round the weights and
+    the decomposition are made from all documents as assigned by the last. What goes to the driver
     and to all tasks is the model, whose size is bounded by buckets and dimensions.
 
     Null and empty texts, and texts without weighted terms, have no row. Labels without a subject,
@@ -240,13 +242,13 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
         out[np.repeat(np.arange(t.num_rows), np.diff(s.offsets.to_numpy())), s.flatten().to_numpy()] = True
         return out
 
-    weights = _weights(_sum(seeds, BUCKETS, n + 1, lambda t, total: _count_terms(t, labelled(t), total)))
+    weights = _weights(_sum(seeds, BUCKETS, n + 1, lambda t, total: _count_terms(t, labelled(t), total)), 1, SEED_DOUBT)
     model = _decompose(rows, weights, DIMS, passes)
     model.centroids = _centroids(seeds, model, n, labelled, None)
     for k in range(rounds):
         if k:
             old = spark.sparkContext.broadcast(model)
-            weights = _weights(_sum(rows, BUCKETS, n + 1, lambda t, total: _count_terms(t, old.value.assign(t), total)))
+            weights = _weights(_sum(rows, BUCKETS, n + 1, lambda t, total: _count_terms(t, old.value.assign(t), total)), 2, 1.0)
             model = _decompose(rows, weights, DIMS, passes)
             model.centroids = _centroids(rows, model, n, lambda t, m: _alone(old.value.assign(t)), None)
         for _ in range(refinements):
