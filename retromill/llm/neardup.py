@@ -26,7 +26,11 @@ SMALL = 256
 CELL = 200
 BLOCK = 256
 
-PRINT = f"rec long, name string, n int, digest binary, keys array<long>, pops binary, packed binary"
+_BYTE = np.arange(256, dtype=np.uint8)
+#: the four bases of each byte
+FOUR = np.stack((_BYTE >> 6, _BYTE >> 4 & 3, _BYTE >> 2 & 3, _BYTE & 3), 1)
+
+PRINT = "rec long, name string, n int, digest binary, keys array<long>, pops binary, packed binary"
 
 
 def _bit(word: np.ndarray) -> np.ndarray:
@@ -77,18 +81,18 @@ def _pack_runs(codes: np.ndarray, cuts: np.ndarray) -> bytes:
 
 
 def _unpack_runs(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all runs of all rows, the offsets of the runs, and the offset of each row's codes."""
-    codes, runs, rows = [], [], np.zeros(len(column) + 1, np.int64)
+    """Codes of all runs of all rows, the offsets of the runs, and the offset of each row's codes. The
+    bases that fill a last byte are a run too short for a word."""
+    length, rows, raw = [], np.zeros(len(column) + 1, np.int64), []
     for i, packed in enumerate(column):
-        n = int(np.frombuffer(packed, np.int32, 1)[0])
-        length = np.frombuffer(packed, np.int32, n, 4)
-        total = int(length.sum())
-        raw = np.frombuffer(packed, np.uint8, -1, 4 * (n + 1))
-        codes.append(np.stack((raw >> 6, raw >> 4 & 3, raw >> 2 & 3, raw & 3), 1).ravel()[:total])
-        runs.append(length)
-        rows[i + 1] = rows[i] + total
-    flat = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-    return np.concatenate(codes) if codes else np.zeros(0, np.uint8), np.append(0, np.cumsum(flat)), rows
+        n = int.from_bytes(packed[:4], "little")
+        own = np.frombuffer(packed, np.int32, n, 4)
+        begin = 4 * (n + 1)
+        raw.append(packed[begin:])
+        length += (own, [4 * (len(packed) - begin) - int(own.sum())])
+        rows[i + 1] = rows[i] + 4 * (len(packed) - begin)
+    codes = FOUR[np.frombuffer(b"".join(raw), np.uint8)].ravel()
+    return codes, np.append(0, np.cumsum(np.concatenate(length))) if length else np.zeros(1, np.int64), rows
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +241,14 @@ def _verify(share: float):
                         mark[marked] = 0
                         c, r, _ = _unpack_runs([packed[i].as_py()])
                         marked, fine = _set_bits(c, r)
-                        marked, last = marked[fine], b[i]
+                        marked, last = np.unique(marked[fine]), b[i]
                         mark[marked] = 1
                     x = slice(rows[i], min(rows[i + 1], len(bits)))
                     own = bits[x][ok[x]]
-                    mark[own[mark[own] > 0]] = 2
-                    two = marked[mark[marked] == 2]
-                    common = len(np.unique(two)) if len(two) > nb[i] or len(marked) > nb[i] else len(two)
-                    mark[marked] = 1
+                    shared = own[mark[own].view(bool)]
+                    mark[shared] = 0  # a word that the row has twice counts once
+                    common = nb[i] - np.count_nonzero(mark[marked])
+                    mark[shared] = 1
                     keep[i] = common >= share * (na[i] + nb[i] - common)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
