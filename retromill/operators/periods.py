@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from retromill.shared import keep_partitions
 
+NO_TAG = -(2**62)
 SUMMARY = "part int, first_entity long, last_entity long, last_start long, max_end long"
-PIECE = "entity long, island long, seg_end long, gap_start long"
+PIECE = "entity long, island long, seg_end long, gap_start long, n long, tag long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], entity: int | None, island: int, reach: int):
@@ -41,13 +42,14 @@ def _scan(batches: Iterator[pa.RecordBatch], entity: int | None, island: int, re
         label = np.where(starts, s, 0)
         at = np.maximum.accumulate(np.where(starts, np.arange(len(s)), -1))
         label = np.where(at >= 0, label[np.maximum(at, 0)], island)
-        yield e, s, t, before, new, starts, label
+        tags = batch.column("tag").fill_null(NO_TAG).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield e, s, t, before, new, starts, label, tags
         entity, island, reach = int(e[-1]), int(label[-1]), last_reach
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = last = start = reach = None
-    for e, _, t, _, _, _, label in _scan(batches, None, 0, 0):
+    for e, _, t, _, _, _, label, _ in _scan(batches, None, 0, 0):
         first = int(e[0]) if first is None else first
         own = int(t[e == e[-1]].max())
         reach = max(reach, own) if last == int(e[-1]) else own
@@ -69,9 +71,10 @@ def _combine(rows: list) -> dict[int, tuple[int, int, int]]:
     return given
 
 
-def periods_and_gaps(rows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """``kind`` ('period' or 'gap'), ``entity``, ``seg_start``, ``seg_end``: the maximal stretches of
-    overlapping or touching intervals of each entity, and what lies between two neighbouring ones.
+def islands(rows: DataFrame, entity: str, start: str, end: str, tag: str | None = None) -> DataFrame:
+    """``entity``, ``island`` (the start), ``seg_end``, ``gap_start`` (the end of the island before it in
+    the entity, or null), ``n`` (intervals in it) and ``tag`` (the greatest ``tag`` of them) for each
+    maximal stretch of overlapping or touching intervals.
 
     The intervals are range-sorted over all partitions by entity and start and written to the shared
     folder partition by partition, so an entity of any size is spread over many
@@ -82,31 +85,41 @@ def periods_and_gaps(rows: DataFrame, entity: str, start: str, end: str) -> Data
     touch, and a grouping with partial maxima joins the pieces of islands that cross partitions.
 
     Rows with a null entity, start or end, and empty or reversed intervals are left out. Repeated
-    intervals change nothing. No intervals give no rows.
+    intervals change nothing but ``n``. No intervals give no rows.
     """
-    clean = rows.select(F.col(entity).cast("long").alias("entity"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t"))
+    clean = rows.select(F.col(entity).cast("long").alias("entity"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("t"), (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"))
     clean = clean.where("entity is not null and s is not null and t is not null and s < t")
-    placed = clean.repartitionByRange("entity", "s").sortWithinPartitions("entity", "s", "t")
-    placed = keep_partitions(placed)
-    summaries = placed.mapInArrow(_summaries, SUMMARY).collect()
-    given = _combine(summaries)
+    placed = keep_partitions(clean.repartitionByRange("entity", "s").sortWithinPartitions("entity", "s", "t"))
+    given = _combine(placed.mapInArrow(_summaries, SUMMARY).collect())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = given.get(TaskContext.get().partitionId())
-        for e, s, t, before, new, starts, label in _scan(batches, *(carried or (None, 0, 0))):
+        for e, s, t, before, new, starts, label, tags in _scan(batches, *(carried or (None, 0, 0))):
             cut = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (label[1:] != label[:-1])))
-            gap = starts & ~new
-            has = gap[cut]
+            has = (starts & ~new)[cut]
+            most = np.maximum.reduceat(tags, cut)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e[cut]), pa.array(label[cut]), pa.array(np.maximum.reduceat(t, cut)), pa.array(before[cut], mask=~has)],
-                ["entity", "island", "seg_end", "gap_start"],
+                [pa.array(e[cut]), pa.array(label[cut]), pa.array(np.maximum.reduceat(t, cut)), pa.array(before[cut], mask=~has), pa.array(np.diff(np.append(cut, len(e)))), pa.array(most, mask=most == NO_TAG)],
+                ["entity", "island", "seg_end", "gap_start", "n", "tag"],
             )
 
     found = placed.mapInArrow(pieces, PIECE)
-    whole = found.groupBy("entity", "island").agg(F.max("seg_end").alias("seg_end"), F.max("gap_start").alias("gap_start"))
+    return found.groupBy("entity", "island").agg(F.max("seg_end").alias("seg_end"), F.max("gap_start").alias("gap_start"), F.sum("n").alias("n"), F.max("tag").alias("tag"))
+
+
+def periods_and_gaps(rows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
+    """``kind`` ('period' or 'gap'), ``entity``, ``seg_start``, ``seg_end``: the maximal stretches of
+    overlapping or touching intervals of each entity, and what lies between two neighbouring ones.
+    See :func:`islands` for the method and for nulls, empty intervals and repeated rows."""
     both = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("entity"), F.col("island").alias("seg_start"), F.col("seg_end")),
         F.struct(F.lit("gap").alias("kind"), F.col("entity"), F.col("gap_start").alias("seg_start"), F.col("island").alias("seg_end")),
     )
-    return whole.select(F.explode(both).alias("x")).where("x.seg_start is not null").select("x.*")
+    return islands(rows, entity, start, end).select(F.explode(both).alias("x")).where("x.seg_start is not null").select("x.*")
+
 
+def merge_events(rows: DataFrame, entity: str, start: str, end: str, unit: str) -> DataFrame:
+    """``entity``, ``orig_start``, ``orig_end``, ``unit_len``: overlapping or touching events of a sequence
+    as one; an event that was merged with another keeps no unit (0)."""
+    whole = islands(rows, entity, start, end, unit)
+    return whole.select("entity", F.col("island").alias("orig_start"), F.col("seg_end").alias("orig_end"), F.when(F.col("n") == 1, F.coalesce("tag", F.lit(0))).otherwise(0).cast("long").alias("unit_len"))

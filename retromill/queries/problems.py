@@ -1,28 +1,12 @@
-"""The registered queries of the core, each over its whole tables, and their SQL."""
+"""The queries of the two general problems."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from retromill.operators.periods import periods_and_gaps
 from retromill.operators.skew import eager_counts
+from retromill.queries.registry import query
 from retromill.shared import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query("""
 with h as (select hit_id, any_value(name) as name, any_value(partner) as partner from seed_hits group by hit_id),

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_records(rows: DataFrame, *columns: str) -> DataFrame:
+def distinct_records(rows: DataFrame, *columns: str, plain: tuple[str, ...] = ()) -> DataFrame:
     """One row for each non-null ``name``: the one with the latest ``loaded_at`` (null before all
     others; among equals the greatest in the order of ``columns``). ``columns`` that are strings
-    come in upper case with '' for null. Rows without a name are no records and are left out."""
+    come in upper case with '' for null, those in ``plain`` as they are. Rows without a name are no records and are left out."""
     kinds = dict(rows.dtypes)
     read = {c: F.upper(F.coalesce(F.col(c), F.lit(""))) if kinds[c] == "string" else F.col(c) for c in columns}
+    read |= {c: F.col(c) for c in plain}
+    columns = (*columns, *plain)
     rows = rows.where(F.col("name").isNotNull()).select("name", "loaded_at", *(e.alias(c) for c, e in read.items()))
     if not columns:
         return rows.select("name").distinct()
