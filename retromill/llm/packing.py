@@ -23,7 +23,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
 
     The sums of single lengths, pairs and triples are indexed by length as bits of a number; the
     lengths, largest first, take combinations that fill their gap exactly, as often as all their
-    lengths are available. What is left is put together by best fit. A step uses up at least one
+    lengths are available. What is left is put together by best fit. Lengths above half the capacity,
+    of which each needs its own container, go through both before the others, or the small ones that
+    they need would be gone. A step uses up at least one
     length, so there are at most as many steps as lengths, however many items there are.
     """
     left = {n: c for n, c in counts.items() if c > 0}
@@ -59,24 +61,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
                 return [a, *rest]
         return None
 
-    for depth in (0, 1, 2, 3):
-        for n in sorted(left, reverse=True):
-            while n in left:
-                rest = [] if depth == 0 else fill(capacity - n, depth, [n]) if capacity - n >= depth else None
-                if rest is None or depth == 0 and n != capacity:
-                    break
-                use([n, *rest])
-    while left:
-        combo: list[int] = []
-        gap = capacity
+    def best_fit(n: int) -> list[int]:
+        combo, gap = [n], capacity - n
         while True:
-            spare = Counter(combo)
-            fit = _bits(left, spare) & ((1 << (gap + 1)) - 1)
+            fit = _bits(left, Counter(combo)) & ((1 << (gap + 1)) - 1)
             if not fit:
-                break
+                return combo
             combo.append(fit.bit_length() - 1)
             gap -= combo[-1]
-        use(combo)
+
+    for floor in (capacity // 2, 0):
+        for depth in (0, 1, 2, 3):
+            for n in sorted((n for n in left if n > floor), reverse=True):
+                while n in left:
+                    rest = [] if depth == 0 else fill(capacity - n, depth, [n]) if capacity - n >= depth else None
+                    if rest is None or depth == 0 and n != capacity:
+                        break
+                    use([n, *rest])
+        while left and (n := max(left)) > floor:
+            use(best_fit(n))
     return steps
 
 

@@ -70,15 +70,17 @@ def _pack_block(packed: np.ndarray, bits: int, records: int) -> Iterator[pa.Reco
 
 def _layout(k: int):
     """Blocks of the vertical layout from batches of records."""
+    block, step = BLOCK, min(512, BLOCK)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         records, size = 0, 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                if records + batch.num_rows > BLOCK or size > 1 << 23:
-                    yield from _pack_block(np.concatenate(held), 2 * k, records)
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                if records + batch.num_rows > block or size > 1 << 23:
+                    if held:
+                        yield from _pack_block(np.concatenate(held), 2 * k, records)
                     held, records, size = [], 0, 0
                 for name in FIELDS:
                     codes, offsets = encode(batch.column(name))
