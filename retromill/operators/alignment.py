@@ -9,6 +9,7 @@ from retromill.config import Thresholds
 from retromill.functions.dna import reverse_complement
 from retromill.operators.coordinates import number_rows
 from retromill.operators.seeds import anchored_pairs, postings, shared_words
+from retromill.shared import spread
 
 
 def f32(x) -> Column:
@@ -79,7 +80,8 @@ def _gated(sides: DataFrame, least: int) -> DataFrame:
 
 def _verified(anchors: DataFrame, sides: DataFrame, least: int, t: Thresholds) -> DataFrame:
     s = _gated(sides, least)
-    both = anchors.join(s.select(F.col("id").alias("i"), F.col("seq").alias("sa")), "i").join(s.select(F.col("id").alias("j"), F.col("seq").alias("sb")), "j")
+    both = anchors.join(s.select(F.col("id").alias("i"), F.col("seq").alias("sa")), "i")
+    both = spread(both, "j").join(s.select(F.col("id").alias("j"), F.col("seq").alias("sb")).hint("shuffle_hash"), "j")
     return verify(both, "sa", "sb", t).where(F.col("ident") >= f32(t.min_identity)).select("i", "j", "is_rc", "edits", "ident")
 
 

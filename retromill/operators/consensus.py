@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retromill.config import Thresholds
+from retromill.shared import spread
 
 #: ambiguity codes of sets of bases (fixed values)
 IUPAC = {
@@ -138,7 +139,7 @@ def align_pairs(pairs: DataFrame, a: str, b: str, edit_frac: float) -> DataFrame
 
     most = f"cast(greatest(length({a}), length({b})) * {edit_frac}D as int) + 1"
     d = F.expr(f"case when length({a}) > 0 and length({b}) > 0 then nullif(levenshtein({a}, {b}, {most}), -1) end")
-    measured = pairs.withColumn("edits", d)
+    measured = spread(pairs, a, b).withColumn("edits", d)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -178,7 +179,7 @@ def star_consensus(members: DataFrame, t: Thresholds = Thresholds(), edit_frac:
     from retromill.functions.dna import reverse_complement
 
     budget = f"cast(greatest(length(seq), length(cseq)) * {edit_frac}D as int) + 1"
-    both = both.withColumn("rc", reverse_complement(F.col("seq"))).withColumn("f", F.expr(f"levenshtein(cseq, seq, {budget})")).withColumn("r", F.expr(f"levenshtein(cseq, rc, {budget})"))
+    both = spread(both, "member").withColumn("rc", reverse_complement(F.col("seq"))).withColumn("f", F.expr(f"levenshtein(cseq, seq, {budget})")).withColumn("r", F.expr(f"levenshtein(cseq, rc, {budget})"))
     turned = (F.col("r") >= 0) & ((F.col("f") < 0) | (F.col("r") < F.col("f")))
     both = both.select("family", "member", "cseq", F.when(turned, F.col("rc")).otherwise(F.col("seq")).alias("s"))
     best = aligned_rows(align_pairs(both, "cseq", "s", edit_frac), "s", "cigar").where("row is not null").select("family", "member", "row")

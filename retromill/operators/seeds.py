@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retromill.functions.dna import canonical_codes, encode, pieces, valid_windows
+from retromill.shared import spread
 
 POSTING = "word int, id long, pos int, len int"
 #: positions beyond this are all read as this one
@@ -61,6 +62,7 @@ def shared_words(post: DataFrame, max_bucket: int, max_ratio: float | None = Non
     ``max_bucket`` sequences have is no seed and is left out whole, which also bounds the pairs of a
     word. With ``elements``, identifiers that are equal modulo it are one element and are not paired;
     ``max_ratio`` bounds the ratio of the lengths."""
+    post = spread(post, "word")
     sizes = post.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, max_bucket)).select("word")
     p = post.join(sizes, "word")
     a, b = (p.select("word", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "pos", "len"))) for x in "ab")

@@ -76,3 +76,9 @@ def keep_partitions(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many partitions as shuffles have, not fewer because the rows are
+    few: for rows that are small but costly. A join or grouping by the same keys shuffles no more."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

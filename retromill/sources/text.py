@@ -1,9 +1,8 @@
 """Readers and writers of the pipeline's text files. All are splittable: a large file is read by many
 tasks, and the order of its records is kept as a column where it means something."""
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -125,12 +124,7 @@ def has_columns(df: DataFrame, needed: StructType) -> bool:
     return all(have.get(f.name) == f.dataType for f in needed)
 
 
-def percent(ident: Column) -> Column:
-    """Divergence in percent with one digit, exact halves of the decimal text rounded as Python does."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or v != v else round((1.0 - v) * 100.0, 1))
-
-    return rounded(ident)
+@F.pandas_udf("double")
+def percent(ident: pd.Series) -> pd.Series:
+    """Divergence in percent with one digit, rounded as Python does, which no built-in function matches."""
+    return ident.map(lambda v: None if v is None or v != v else round((1.0 - v) * 100.0, 1))
