@@ -130,10 +130,10 @@ def lift_through(points: DataFrame, layers: list[DataFrame], point: str = "pos")
 
 
 def map_info(events: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``entity``, ``orig_len``, ``taco_len``, ``n_events`` of each sequence of known length."""
+    """``entity``, ``orig_len``, ``short_len``, ``n_events`` of each sequence of known length."""
     taken = with_shifts(events).groupBy("entity").agg(F.sum("removed").alias("taken"), F.count(F.lit(1)).alias("n_events"))
     all_ = lengths.where("len is not null").join(taken, "entity", "left")
-    return all_.select("entity", F.col("len").alias("orig_len"), (F.col("len") - F.coalesce("taken", F.lit(0))).alias("taco_len"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+    return all_.select("entity", F.col("len").alias("orig_len"), (F.col("len") - F.coalesce("taken", F.lit(0))).alias("short_len"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
 def collapse_sequences(sequences: DataFrame, events: DataFrame) -> DataFrame:
@@ -146,6 +146,21 @@ def collapse_sequences(sequences: DataFrame, events: DataFrame) -> DataFrame:
     return sequences.join(parts, "entity", "left").select("entity", F.coalesce(text, F.substring("seq", 1, 0)).alias("seq"))
 
 
+def mask_sequences(sequences: DataFrame, events: DataFrame, soft: bool = False) -> DataFrame:
+    """``entity``, ``seq``: the sequences with the events' bases as N, or in lower case if ``soft``, the others in
+    upper case. Events beyond the end of a sequence are cut."""
+    n = F.length("seq").cast("long")
+    merged = merge_events(events, "entity", "orig_start", "orig_end", "unit_len")
+    inside = merged.join(sequences.select("entity", n.alias("n")), "entity").where("orig_start < n").select("entity", "orig_start", F.least("orig_end", "n").alias("orig_end"))
+    cut = inside.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("orig_start", "orig_end"))).alias("cuts"))
+    begin, end = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.orig_end")), F.concat(F.col("cuts.orig_start"), F.array(n))
+    piece = lambda a, b: F.substring("seq", (a + 1).cast("int"), (b - a).cast("int"))
+    kept = F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda x: F.upper(piece(x["b"], x["e"])))
+    masked = F.transform("cuts", lambda x: F.lower(piece(x["orig_start"], x["orig_end"])) if soft else F.repeat(F.lit("N"), (x["orig_end"] - x["orig_start"]).cast("int")))
+    parts = F.zip_with(kept, F.concat(masked, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return sequences.join(cut, "entity", "left").select("entity", F.when(F.col("cuts").isNull(), F.upper("seq")).otherwise(F.array_join(parts, "")).alias("seq"))
+
+
 def removed_pieces(sequences: DataFrame, events: DataFrame) -> DataFrame:
     """Merged events with the bases they take out, from which :func:`reconstruct` restores."""
     shifts = with_shifts(events).join(sequences, "entity")

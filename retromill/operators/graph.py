@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retromill.operators.coordinates import number_rows
-from retromill.shared import discard, join_hot_keys, materialize
+from retromill.shared import FEW, discard, join_hot_keys, materialize
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,10 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     e, facts = materialize(e, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum"))
 
     def star(rows: DataFrame, total: int) -> DataFrame:
-        low, seen = materialize(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg")))
+        low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
+        if total <= FEW:  # no key can be hot, so nothing is read twice
+            return rows.join(low, "u")
+        low, seen = materialize(low)
         used.append(seen["path"])
         return join_hot_keys(rows, low, "u", "deg", total)
 
@@ -86,3 +89,17 @@ def gml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     ends = spark.createDataFrame([(0, "graph ["), (3, "]")], "k int, line string").select(F.struct("k", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("ord"), "line")
     return n.unionByName(e).unionByName(ends)
+
+
+def subfamilies(edges: DataFrame, a: str, b: str, distance: str, family: DataFrame, cut: float = 0.2) -> DataFrame:
+    """``family``, ``tag``, ``member``: within each family the groups of two members or more that edges of at most
+    ``cut`` connect, lettered in the order of their smallest members; the tag is empty where a family
+    has one such group. Edges with a null distance connect nothing."""
+    from retromill.operators.consensus import subfamily_tag
+
+    near = components(edges.where(F.col(distance) <= cut), a, b).withColumnRenamed("node", "member").join(family, "member")
+    heads = near.select("family", "component").distinct()
+    w = Window.partitionBy("family")
+    ranked = heads.select("family", "component", (F.row_number().over(w.orderBy("component")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    tagged = ranked.select("component", F.when(F.col("n") > 1, subfamily_tag(F.col("i"))).otherwise("").alias("tag"))
+    return near.join(tagged, "component").select("family", "tag", "member")

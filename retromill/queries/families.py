@@ -149,3 +149,16 @@ def membership_lines(spark, d):
     """One line for each consensus with its members, and its size in subfamily letters."""
     h = held(spark, d).groupBy("family").agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"), F.count(F.lit(1)).alias("n"))
     return h.select(F.col("family").alias("consensus"), "members", cs.subfamily_tag(F.col("n") - 1).alias("size_tag"))
+
+
+@query(f"""with recursive {FAMILIES}, near as (select least(name_a, name_b) as a, greatest(name_a, name_b) as b from match_pairs where name_a <> name_b group by 1, 2 having min(ltr_div_pct + int_div_pct) <= 8),
+ne as (select a, b from near semi join e using (a, b)), ns as (select a, b from ne union select b, a from ne),
+nreach(name, other) as (select a, b from ns union select nreach.name, ns.b from nreach join ns on nreach.other = ns.a), ncomp as (select name as member, min(other) as component from nreach group by name),
+h as (select *, row_number() over (partition by family order by component) - 1 as i, count(*) over (partition by family) as n from (select distinct family, component from ncomp join fam using (member)))
+select fam.family, case when n > 1 then repeat(chr(97 + cast(i % 26 as int)), cast(i // 26 as int) + 1) else '' end as tag, fam.member from ncomp join fam using (member) join h on h.component = ncomp.component and h.family = fam.family""")
+def subfamilies(spark, d):
+    """Groups of close members within families: mean divergence of repeats and internal parts of 4 % at most."""
+    e = links(spark, d)
+    p = table(spark, d, "match_pairs").where("name_a <> name_b").groupBy(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).agg(F.min(F.col("ltr_div_pct") + F.col("int_div_pct")).alias("sum"))
+    near = p.join(e, ["a", "b"], "left_semi").withColumn("distance", F.col("sum") / 200)
+    return graph.subfamilies(near, "a", "b", "distance", graph.families(e, "a", "b"), 0.04)

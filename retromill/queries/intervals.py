@@ -98,7 +98,7 @@ def lift_through_layers(spark, d):
 
 
 @query(f"""with {ALIGNS}, {MERGED}, {SHIFTS}, t as (select entity, sum(removed) as taken, count(*) as n from sh group by entity)
-select cast(seq_index as bigint) as entity, scaf_len as orig_len, cast(scaf_len - coalesce(taken, 0) as bigint) as taco_len, coalesce(n, 0) as n_events from scaffolds left join t on entity = seq_index where scaf_len is not null""")
+select cast(seq_index as bigint) as entity, scaf_len as orig_len, cast(scaf_len - coalesce(taken, 0) as bigint) as short_len, coalesce(n, 0) as n_events from scaffolds left join t on entity = seq_index where scaf_len is not null""")
 def map_info(spark, d):
     return co.map_info(removed(spark, d), lengths(spark, d))
 

@@ -52,12 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: keys with up to so many rows are never hot
+FEW = 10_000
+
+
 def join_hot_keys(rows: DataFrame, side: DataFrame, key: str, n: str, total: int, most: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``side``, which has each ``key`` once and in ``n`` the number of
     rows with it. Keys with more than a ``most``-th of all ``total`` rows are at most ``most``; they
     are broadcast, so that their rows stay where they are. All others are joined by a shuffle, in
     which no key holds more than that share."""
-    limit = max(10_000, total // most)
+    limit = max(FEW, total // most)
     hot, cold = side.where(F.col(n) > limit), side.where(F.col(n) <= limit)
     if total <= limit:
         return rows.join(cold, key)

@@ -4,7 +4,7 @@ tasks, and the order of its records is kept as a column where it means something
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from retromill.operators.classes import class_label
 from retromill.operators.coordinates import number_rows, running_sum
@@ -82,19 +82,19 @@ def read_calls(spark: SparkSession, path: str, db: str) -> DataFrame:
     return p.groupBy("te_id").agg(F.max(F.struct("at", *cols)).alias("x")).select(F.lit(db).alias("db"), "te_id", *(F.col(f"x.{c}").alias(c) for c in cols))
 
 
-def read_one_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``ord`` (from 0), ``kind`` (the first letter), ``fields``: the lines of an ASCII ONE file after its header."""
+def read_line_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``ord`` (from 0), ``kind`` (the first letter), ``fields``: the lines of a file of typed lines (ASCII) after its header."""
     lines = _placed(spark.read.text(path)).where(F.col("value").rlike("^[A-Za-z]"))
     return number_rows(lines, "at", name="ord").select((F.col("ord") - 1).alias("ord"), F.substring("value", 1, 1).alias("kind"), F.split(F.trim(F.expr("substring(value, 2)")), " +").alias("fields"))
 
 
-def one_counts(lines: DataFrame) -> DataFrame:
+def line_kinds(lines: DataFrame) -> DataFrame:
     """``kind``, ``n``, ``total``, ``longest``: lines of each kind, and of their first number the sum and maximum."""
     first = F.try_element_at("fields", F.lit(1)).try_cast("long")
     return lines.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("total"), F.max(first).alias("longest"))
 
 
-def one_alignments(lines: DataFrame) -> DataFrame:
+def alignments_from_lines(lines: DataFrame) -> DataFrame:
     """``scaffold_idx``, ``r1s``, ``r1e``, ``r2s``, ``r2e``: alignments in scaffold coordinates. Contigs lie in
     their scaffold after the contigs and gaps before them; an alignment counts if it is closed and
     neither side is empty."""
@@ -124,7 +124,7 @@ def has_columns(df: DataFrame, needed: StructType) -> bool:
     return all(have.get(f.name) == f.dataType for f in needed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def percent(ident: pd.Series) -> pd.Series:
     """Divergence in percent with one digit, rounded as Python does, which no built-in function matches."""
     return ident.map(lambda v: None if v is None or v != v else round((1.0 - v) * 100.0, 1))

@@ -135,6 +135,20 @@ def test_components_and_families(spark):
     assert graph.components(df.where("false"), "a", "b").collect() == []
 
 
+def test_a_hub_with_very_many_neighbours(spark):
+    n = 11_000
+    df = spark.range(n).selectExpr("'hub' as a", "concat('n', id) as b")
+    got = graph.components(df, "a", "b")
+    assert got.count() == n + 1 and got.select("component").distinct().count() == 1
+
+
+def test_subfamilies(spark):
+    e = [("a", "b", 0.1), ("b", "c", 0.3), ("c", "d", 0.2), ("d", "e", None), ("x", "y", 0.0), ("y", "z", 0.0)]
+    df = spark.createDataFrame(e, "p string, q string, dist double")
+    got = graph.subfamilies(df, "p", "q", "dist", graph.families(df, "p", "q")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", "a"), (1, "a", "b"), (1, "b", "c"), (1, "b", "d"), (2, "", "x"), (2, "", "y"), (2, "", "z")]
+
+
 def test_subfamily_letters(spark):
     df = spark.range(60).select(cs.subfamily_tag(F.col("id")).alias("t"))
     assert [r.t for r in df.collect()] == [chr(97 + i % 26) * (i // 26 + 1) for i in range(60)]

@@ -44,7 +44,7 @@ def test_collapse_reconstruct_lift(spark):
             assert [up[e, i] for i in range(len(want[e]))] == [i for i, k in enumerate(kept(s, spec.get(e, []))) if k]
         back = co.lift(co.lift(points, edf, back=False).select("entity", F.col("pos").alias("was"), F.col("lifted").alias("pos")), edf, back=True)
         assert back.where("was <> lifted").count() == 0
-        info = {r.entity: (r.orig_len, r.taco_len) for r in co.map_info(edf, sdf.select("entity", F.length("seq").cast("long").alias("len"))).collect()}
+        info = {r.entity: (r.orig_len, r.short_len) for r in co.map_info(edf, sdf.select("entity", F.length("seq").cast("long").alias("len"))).collect()}
         assert info == {e: (len(s), len(want[e])) for e, s in seqs.items()}
 
 
@@ -79,3 +79,10 @@ def test_overlap_semi_join(spark):
     got = {r.id for r in co.overlapping(left, right, "k", "s", "e", "a", "b", width=64).collect()}
     want = {i for i, (k, s, e) in enumerate(a) if k is not None and s is not None and s < e and any(k == q and x < y and s < y and x < e for q, x, y in b)}
     assert got == want
+
+
+def test_masks(spark):
+    s = spark.createDataFrame([(0, "acgtacgtac"), (1, "ACGT"), (2, "")], "entity long, seq string")
+    e = spark.createDataFrame([(0, 0, 2, 0), (0, 4, 6, 1), (0, 6, 7, 1), (0, 9, 99, 0), (2, 5, 9, 0)], "entity long, orig_start long, orig_end long, unit_len long")
+    assert {r.entity: r.seq for r in co.mask_sequences(s, e).collect()} == {0: "NNGTNNNTAN", 1: "ACGT", 2: ""}
+    assert {r.entity: r.seq for r in co.mask_sequences(s, e, soft=True).collect()} == {0: "acGTacgTAc", 1: "ACGT", 2: ""}

@@ -42,11 +42,11 @@ def test_tables(spark, tmp_path):
     assert got == {"a": ("LTR/Gypsy", "RT", "-", "no", "y", "rexdb"), "b": ("LTR/unknown", "RT", "-", "no", "x", "rexdb"), "c": ("Unknown", "none", "?", "no", "x", "rexdb"), "e": ("TIR/unknown", "TPase", "-", "no", "x", "rexdb")}
 
 
-def test_one_alignments(spark, tmp_path):
+def test_alignments_from_lines(spark, tmp_path):
     (tmp_path / "o").write_text("\n".join(["1 3 aln 1 0", "# A 5", "S 4 scf1", "C 100", "G 20", "C 50", "S 4 scf2", "C 70", "A 0 50 60 0 10 20", "D 3", "U", "A 1 5 15 1 0 0", "U", "A 1 30 40 1 10 20", "A 2 9 19 2 1 11", "D 0", "U"]))
-    lines = text.read_one_lines(spark, str(tmp_path / "o"))
-    assert sorted(tuple(r) for r in text.one_alignments(lines).collect()) == [(0, 10, 20, 50, 60), (1, 1, 11, 9, 19)]
-    assert {r.kind: r.n for r in text.one_counts(lines).collect()} == {"S": 2, "C": 3, "G": 1, "A": 4, "U": 3, "D": 2}
+    lines = text.read_line_objects(spark, str(tmp_path / "o"))
+    assert sorted(tuple(r) for r in text.alignments_from_lines(lines).collect()) == [(0, 10, 20, 50, 60), (1, 1, 11, 9, 19)]
+    assert {r.kind: r.n for r in text.line_kinds(lines).collect()} == {"S": 2, "C": 3, "G": 1, "A": 4, "U": 3, "D": 2}
     some = text.rows_between(lines, [(6, 8), (0, 1)]).orderBy("request", "ord").collect()
     assert [(r.request, r.ord, r.kind) for r in some] == [(0, 6, "A"), (0, 7, "D"), (1, 0, "S")]
 
