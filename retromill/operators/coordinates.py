@@ -42,6 +42,15 @@ def contig_offsets(contigs: DataFrame) -> DataFrame:
     return running_sum(contigs.withColumn("len", F.coalesce("len", F.lit(0))), "scaffold", "ord", "len", "offset", 1000)
 
 
+def resolve_scaffolds(wanted: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``scaffold``, ``seq_index``: the sequence of each wanted name, by its whole description line (name, blank,
+    description) before its name alone; null if neither is there. Of equal lines the first sequence counts."""
+    full = F.concat("name", F.lit(" "), "descr")
+    first = lambda key: sequences.where(key.isNotNull()).groupBy(key.alias("scaffold")).agg(F.min("seq_index").alias("i"))
+    whole, alone = first(F.when(F.col("descr") != "", full)).withColumnRenamed("i", "a"), first(F.col("name")).withColumnRenamed("i", "b")
+    return wanted.select("scaffold").distinct().join(whole, "scaffold", "left").join(alone, "scaffold", "left").select("scaffold", F.coalesce("a", "b").alias("seq_index"))
+
+
 def extract_elements(alignments: DataFrame, scaffolds: DataFrame, flank: int = 100) -> DataFrame:
     """Elements from pairs of repeats: numbered names in the order of (scaffold, r1s, r2s), footprint
     with up to ``flank`` bases to each side, clipped to the scaffold. Alignments with an empty repeat,

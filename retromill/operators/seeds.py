@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retromill.functions.dna import canonical_codes, encode, pieces, valid_windows
+from retromill.functions.dna import canonical_codes, encode, pieces, valid_windows, word_codes
 from retromill.shared import spread
 
 POSTING = "word int, id long, pos int, len int"
@@ -93,30 +93,34 @@ def anchored_pairs(events: DataFrame, min_shared: int = 3) -> DataFrame:
     return g.withColumn("near", near).select("i", "j", F.col("n").alias("n_shared"), "is_rc", F.col("near.pi").alias("pi"), F.col("near.pj").alias("pj"))
 
 
-def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10) -> DataFrame:
+def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10, inverted: bool = False) -> DataFrame:
     """Two similar copies on one sequence, as of an element's two long repeats: ``id``, ``diagonal``
     (the distance of the copies, in bins of ``width``), ``n_words``, ``first_pos``, ``last_pos`` (of the
     first copy) for bins with at least ``hits`` words that recur at a distance of ``least`` to ``most``.
-    A word is paired with its next occurrence on the sequence only, so repeats of many units give
-    rows in proportion to the sequence."""
+    With ``inverted`` the second copy is read on the other strand, and ``diagonal`` is the sum of both
+    positions. A word is paired with its next occurrence on the sequence only, so repeats of many units
+    give rows in proportion to the sequence. With a small ``least`` it shows tandem arrays."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             codes, offsets = encode(batch.column("seq"))
-            from retromill.functions.dna import word_codes
-
             at = np.flatnonzero(valid_windows(codes, offsets, k))
             if not len(at):
                 continue
             s = np.searchsorted(offsets, at, "right") - 1
-            key = s.astype(np.int64) << 24 | word_codes(codes, k)[at].astype(np.int64)
+            forward = word_codes(codes, k)[at].astype(np.int64)
+            word = canonical_codes(codes, k)[at].astype(np.int64) if inverted else forward
+            key = s.astype(np.int64) << 24 | word
             order = np.argsort(key, kind="stable")
             a, b = order[:-1], order[1:]
             far = at[b] - at[a]
             hit = (key[a] == key[b]) & (far >= least) & (far <= most)
-            a, far = a[hit], far[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s[a]]), pa.array(far // width), pa.array(at[a] - offsets[s[a]])], ["id", "diagonal", "pos"])
+            if inverted:
+                hit &= (forward == word)[a] != (forward == word)[b]
+            a, b = a[hit], b[hit]
+            first, second = at[a] - offsets[s[a]], at[b] - offsets[s[b]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s[a]]), pa.array((second + first if inverted else second - first) // width), pa.array(first)], ["id", "diagonal", "pos"])
 
     found = rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq")).mapInArrow(over, "id long, diagonal long, pos long")
     bins = found.groupBy("id", "diagonal").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))

@@ -142,3 +142,13 @@ def alignment_summary(spark, d):
     both = s.join(on.select(F.col("scaffold_idx").alias("seq_index"), "n", "listed"), "seq_index", "left")
     bp = lambda c: F.sum(F.when(c, F.col("scaf_len"))).alias
     return both.agg(F.sum("n").alias("n_alignments"), F.sum("scaf_len").alias("total_bp"), bp(F.col("n").isNotNull())("active_bp"), F.count("n").alias("n_active"), bp(F.col("listed") == 1)("restricted_bp"))
+
+
+@query("""with w as (select distinct case when seq_index % 3 = 0 then name || ' ' || coalesce(descr, '') when seq_index % 3 = 1 then name else name || ' gone' end as scaffold from scaffolds),
+f as (select name || ' ' || descr as scaffold, min(seq_index) as a from scaffolds where descr <> '' group by 1), n as (select name as scaffold, min(seq_index) as b from scaffolds group by 1)
+select scaffold, coalesce(a, b) as seq_index from w left join f using (scaffold) left join n using (scaffold)""")
+def resolved_scaffolds(spark, d):
+    """Names as alignments give them, with and without descriptions, and the scaffolds they mean."""
+    s = table(spark, d, "scaffolds")
+    name = F.when(F.col("seq_index") % 3 == 0, F.concat("name", F.lit(" "), F.coalesce("descr", F.lit("")))).when(F.col("seq_index") % 3 == 1, F.col("name")).otherwise(F.concat("name", F.lit(" gone")))
+    return co.resolve_scaffolds(s.select(name.alias("scaffold")), s)

@@ -77,3 +77,6 @@ def test_repeats_within_a_sequence(spark):
     df = spark.createDataFrame([(1, ltr + inner + ltr), (2, inner), (3, "")], "id long, seq string")
     r = repeat_diagonals(df, "id", "seq").collect()
     assert [(x.id, x.diagonal, x.first_pos, x.last_pos) for x in r] == [(1, 620 // 64, 0, 108)]
+    turned = df.sparkSession.createDataFrame([(1, ltr + inner + ltr.translate(str.maketrans("ACGT", "TGCA"))[::-1]), (2, ltr + inner + ltr)], "id long, seq string")
+    r = repeat_diagonals(turned, "id", "seq", inverted=True, width=1).collect()
+    assert [(x.id, x.diagonal, x.n_words) for x in r] == [(1, 740 - 12, 109)]
