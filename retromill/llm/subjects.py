@@ -16,11 +16,13 @@ from retromill.shared import materialize
 BITS = 18
 BUCKETS = 1 << BITS
 #: dimensions of the embedding
-DIMS = 24
+DIMS = 48
 #: labelled documents from which the first centroids are made, at most
 MOST_LABELLED = 50_000
 #: least cosine to the centroid of a subject, and least weight of its terms in the document
 NEAR, MASS = 0.3, 2.0
+#: least cosine for the result: a subject with about a sixth of a document's weighted terms
+LEAST = 0.2
 SEED_DOUBT = 0.5
 FEATURES = "doc_id long, terms array<int>, times array<int>"
 
@@ -83,6 +85,7 @@ class Model:
         rng = np.random.default_rng(7)
         self.basis = np.linalg.qr(rng.normal(size=(len(self.used), min(dims, len(self.used)))))[0] if len(self.used) else np.zeros((0, 0))
         self.centroids = np.zeros((0, self.basis.shape[1]))
+        self.near = NEAR
 
     def rows(self, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Weighted terms of each document, each document of length 1: (document, row, value), mass."""
@@ -107,7 +110,7 @@ class Model:
         """Which subjects each document is about: those near enough, the two nearest at most."""
         place, mass = self.embed(t)
         cos = place @ self.centroids.T
-        near = (cos >= NEAR) & (mass >= MASS)[:, None]
+        near = (cos >= self.near) & (mass >= MASS)[:, None]
         if cos.shape[1] > 2:
             near &= cos >= np.partition(cos, -2, axis=1)[:, -2:-1]
         return near
@@ -204,7 +207,7 @@ def subject_name(c):
     return F.lower(F.trim(c))
 
 
-def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = 3, passes: int = 4, refinements: int = 3) -> DataFrame:
+def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = 3, passes: int = 4, refinements: int = 3, least: float = LEAST) -> DataFrame:
     """``doc_id``, ``subject``: none, one or two rows for each document.
 
     Each document becomes the counts of its terms, hashed to 2^18 buckets. The terms are weighted by
@@ -253,6 +256,7 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
             model.centroids = _centroids(rows, model, n, lambda t, m: _alone(old.value.assign(t)), None)
         for _ in range(refinements):
             model.centroids = _centroids(rows, model, n, lambda t, m: _alone(m.assign(t)), model.centroids)
+    model.near = least
     held = spark.sparkContext.broadcast(model)
 
     def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
