@@ -277,7 +277,7 @@ def similar_pairs(records: DataFrame, share: float = 0.5) -> DataFrame:
     prints, facts = materialize(base.mapInArrow(_fingerprints, PRINT).where("n > 0"), F.count(F.lit(1)).alias("n"))
     classes, _ = materialize(prints.groupBy("digest").agg(F.min("rec").alias("rep"), F.count(F.lit(1)).alias("copies")))
     members, _ = materialize(join_hot_keys(prints.select("digest", "rec", "name"), classes, "digest", "copies", facts["n"]).select("rep", "rec", "name", "copies"))
-    reps = prints.join(classes.select(F.col("rep").alias("rec")), "rec", "left_semi")
+    reps = prints.join(classes.select(F.col("rep").alias("rec")).hint("merge"), "rec", "left_semi")
     cells = reps.select(F.explode("keys").alias("key"), "rec", F.col("n").cast("long").alias("n"))
     close = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(share), "a long, b long, key long").distinct()
     close, seen = materialize(close, F.coalesce(F.sum((F.col("b") < 0).cast("long")), F.lit(0)).alias("large"))
@@ -286,10 +286,10 @@ def similar_pairs(records: DataFrame, share: float = 0.5) -> DataFrame:
         pairs = pairs.unionByName(_grid_join(close.where("b < 0").select("key", F.col("a").alias("rec")), prints, share)).distinct()
     a = prints.select(F.col("rec").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa"))
     b = prints.select(F.col("rec").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb"))
-    exact = pairs.join(a, "a").join(b.hint("merge"), "b").mapInArrow(_verify(share), "a long, b long")
+    exact = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(share), "a long, b long")
     left = members.select(F.col("rep").alias("a"), F.col("name").alias("x"), F.col("copies"))
     right = members.select(F.col("rep").alias("b"), F.col("name").alias("y"))
-    between = exact.join(left.drop("copies"), "a").join(right, "b").select("x", "y")
+    between = exact.join(left.drop("copies").hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y")
     many = members.where("copies > 1")
-    within = many.select("rep", F.col("name").alias("x")).join(many.select("rep", F.col("name").alias("y")), "rep").where("x < y").select("x", "y")
+    within = many.select("rep", F.col("name").alias("x")).join(many.select("rep", F.col("name").alias("y")).hint("merge"), "rep").where("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
