@@ -87,34 +87,41 @@ class Model:
         self.centroids = np.zeros((0, self.basis.shape[1]))
         self.near = NEAR
 
-    def rows(self, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Weighted terms of each document, each document of length 1: (document, row, value), mass."""
+    def rows(self, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of each document that have a weight: (document, row, weighted times)."""
         doc, term, times = flat(t)
+        if "about" in t.schema.names:  # a table that holds these already
+            return doc, term, times.astype(np.float64)
         row = self.row[term]
         keep = row >= 0
-        doc, row = doc[keep], row[keep]
-        value = times[keep] * self.weight[row]
+        return doc[keep], row[keep], times[keep] * self.weight[row[keep]]
+
+    def unit(self, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with each document of length 1, and the mass each had."""
+        doc, row, value = self.rows(t)
         mass = np.bincount(doc, value, t.num_rows)
         size = np.sqrt(np.bincount(doc, value * value, t.num_rows))
         return doc, row, value / np.maximum(size, 1e-9)[doc], mass
 
     def embed(self, t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        doc, row, value, mass = self.rows(t)
+        doc, row, value, mass = self.unit(t)
         place = np.zeros((t.num_rows, self.basis.shape[1]))
         if len(doc):
             begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             place[doc[begin]] = np.add.reduceat(self.basis[row] * value[:, None], begin)
         return place / np.maximum(np.linalg.norm(place, axis=1), 1e-9)[:, None], mass
 
-    def assign(self, t: pa.RecordBatch) -> np.ndarray:
+    def about(self, place: np.ndarray, mass: np.ndarray) -> np.ndarray:
         """Which subjects each document is about: those near enough, the two nearest at most."""
-        place, mass = self.embed(t)
         cos = place @ self.centroids.T
         near = (cos >= self.near) & (mass >= MASS)[:, None]
         if cos.shape[1] > 2:
             near &= cos >= np.partition(cos, -2, axis=1)[:, -2:-1]
         return near
 
+    def assign(self, t: pa.RecordBatch) -> np.ndarray:
+        return self.about(*self.embed(t))
+
 
 def flat(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     terms, times = t.column("terms"), t.column("times")
@@ -161,16 +168,43 @@ def _count_terms(t: pa.RecordBatch, subjects: np.ndarray, total: np.ndarray) ->
     total[:, n] += np.bincount(term, minlength=BUCKETS)
 
 
-def _decompose(rows: DataFrame, weights: np.ndarray, dims: int, passes: int) -> Model:
+def _weighted(rows: DataFrame, model: Model, old: Model | None) -> DataFrame:
+    """A table of the weighted terms of each document, and in ``about`` the subject that the model of the round
+    before found, if it found one only; what follows reads this smaller table."""
+    held = rows.sparkSession.sparkContext.broadcast((model, old))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, was = held.value
+        for t in batches:
+            doc, row, value = new.rows(t)
+            ends = pa.array(np.searchsorted(doc, np.arange(t.num_rows + 1)).astype(np.int32))
+            which = _alone(was.assign(t)) if was else np.zeros((t.num_rows, 1), bool)
+            d, about = np.nonzero(which)
+            cut = pa.array(np.searchsorted(d, np.arange(t.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(ends, pa.array(row.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32))), pa.ListArray.from_arrays(cut, pa.array(about.astype(np.int32)))], ["terms", "times", "about"]
+            )
+
+    return materialize(rows.mapInArrow(over, "terms array<int>, times array<float>, about array<int>"))[0]
+
+
+def _marks(t: pa.RecordBatch, column: str, n: int) -> np.ndarray:
+    """A column of subject numbers as marks."""
+    out = np.zeros((t.num_rows, n), bool)
+    s = t.column(column)
+    out[np.repeat(np.arange(t.num_rows), np.diff(s.offsets.to_numpy())), s.flatten().to_numpy()] = True
+    return out
+
+
+def _decompose(small: DataFrame, model: Model, passes: int) -> None:
     """Truncated singular value decomposition of the weighted terms of all documents by subspace
     iteration: each pass over the documents adds up X'XQ, which is then made orthonormal."""
-    model = Model(weights, dims)
     for _ in range(passes if len(model.used) else 0):
-        held = rows.sparkSession.sparkContext.broadcast(model)
+        held = small.sparkSession.sparkContext.broadcast(model)
 
         def add(t: pa.RecordBatch, total: np.ndarray, held=held) -> None:
             m = held.value
-            doc, row, value, _ = m.rows(t)
+            doc, row, value, _ = m.unit(t)
             if not len(doc):
                 return
             begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
@@ -178,17 +212,16 @@ def _decompose(rows: DataFrame, weights: np.ndarray, dims: int, passes: int) ->
             for j in range(total.shape[1]):
                 total[:, j] += np.bincount(row, y[:, j], len(m.used))
 
-        model.basis = np.linalg.qr(_sum(rows, len(model.used), model.basis.shape[1], add))[0]
-    return model
+        model.basis = np.linalg.qr(_sum(small, len(model.used), model.basis.shape[1], add))[0]
 
 
-def _centroids(rows: DataFrame, model: Model, n: int, subjects: Callable[[pa.RecordBatch, Model], np.ndarray], before: np.ndarray | None) -> np.ndarray:
+def _centroids(rows: DataFrame, model: Model, n: int, subjects: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, Model], np.ndarray], before: np.ndarray | None) -> np.ndarray:
     """Mean direction of the documents of each subject; one without documents keeps its centroid."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def add(t: pa.RecordBatch, total: np.ndarray) -> None:
         place, mass = held.value.embed(t)
-        which = subjects(t, held.value)
+        which = subjects(t, place, mass, held.value)
         total += (which & (mass > 0)[:, None]).T.astype(float) @ place
 
     c = _sum(rows, n, model.basis.shape[1], add) if model.basis.shape[1] else np.zeros((n, 0))
@@ -239,23 +272,22 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     described = told.select("doc_id", "text").mapInArrow(_features, FEATURES).join(told.select("doc_id", "seeds"), "doc_id")
     seeds, _ = materialize(rows.join(some, "doc_id").unionByName(described))
 
-    def labelled(t: pa.RecordBatch, model=None) -> np.ndarray:
-        out = np.zeros((t.num_rows, n), bool)
-        s = t.column("seeds")
-        out[np.repeat(np.arange(t.num_rows), np.diff(s.offsets.to_numpy())), s.flatten().to_numpy()] = True
-        return out
+    def seeded(t: pa.RecordBatch, *_) -> np.ndarray:
+        return _marks(t, "seeds", n)
 
-    weights = _weights(_sum(seeds, BUCKETS, n + 1, lambda t, total: _count_terms(t, labelled(t), total)), 1, SEED_DOUBT)
-    model = _decompose(rows, weights, DIMS, passes)
-    model.centroids = _centroids(seeds, model, n, labelled, None)
+    model = None
     for k in range(rounds):
         if k:
             old = spark.sparkContext.broadcast(model)
             weights = _weights(_sum(rows, BUCKETS, n + 1, lambda t, total: _count_terms(t, old.value.assign(t), total)), 2, 1.0)
-            model = _decompose(rows, weights, DIMS, passes)
-            model.centroids = _centroids(rows, model, n, lambda t, m: _alone(old.value.assign(t)), None)
+        else:
+            weights = _weights(_sum(seeds, BUCKETS, n + 1, lambda t, total: _count_terms(t, seeded(t), total)), 1, SEED_DOUBT)
+        before, model = model, Model(weights, DIMS)
+        small = _weighted(rows, model, before)
+        _decompose(small, model, passes)
+        model.centroids = _centroids(small, model, n, lambda t, *_: _marks(t, "about", n), None) if k else _centroids(seeds, model, n, seeded, None)
         for _ in range(refinements):
-            model.centroids = _centroids(rows, model, n, lambda t, m: _alone(m.assign(t)), model.centroids)
+            model.centroids = _centroids(small, model, n, lambda t, place, mass, m: _alone(m.about(place, mass)), model.centroids)
     model.near = least
     held = spark.sparkContext.broadcast(model)
 
