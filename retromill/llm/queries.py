@@ -42,12 +42,29 @@ def p1_found(spark, d):
     return linked_records(table(spark, d, "match_pairs"), table(spark, d, "ltr_records"))
 
 
-@query()
+@query("""
+with r as (select name, upper(coalesce(ltr5, '')) as a, upper(coalesce(internal, '')) as b, upper(coalesce(ltr3, '')) as c from (
+  select *, row_number() over (partition by name order by loaded_at desc) as n from ltr_records where name is not null) where n = 1),
+f as (select name, 'ltr5' as field, a as s from r union all select name, 'internal', b from r),
+w as (select name, field, i, substr(s, i, 80) as w from (select *, unnest(range(1, length(s) - 78)) as i from f where length(s) >= 80)),
+v as (select * from w where regexp_full_match(w, '[ACGT]{80}')),
+h as (select name, field, i, lead(i) over (partition by name, field order by i) as nxt from v where w in (select w from v group by w having count(distinct name) > 1))
+select name, field, cast(sum(least(80, coalesce(nxt - i, 80))) as bigint) as shared_len from h group by name, field
+""")
 def p2_found(spark, d):
     return shared_spans(table(spark, d, "ltr_records"))
 
 
-@query()
+@query("""
+with r as (select name, upper(coalesce(ltr5, '')) as a, upper(coalesce(internal, '')) as b, upper(coalesce(ltr3, '')) as c from (
+  select *, row_number() over (partition by name order by loaded_at desc) as n from ltr_records where name is not null) where n = 1),
+f as (select name, a as s from r union all select name, b from r union all select name, c from r),
+w as (select name, substr(s, i, 12) as w from (select *, unnest(range(1, length(s) - 10)) as i from f where length(s) >= 12)),
+k as (select distinct name, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as word from w where regexp_full_match(w, '[ACGT]{12}')),
+n as (select name, count(*) as n from k group by name),
+c as (select a.name as name_a, b.name as name_b, count(*) as common from k a join k b using (word) where a.name < b.name group by 1, 2)
+select name_a, name_b from c join n x on x.name = name_a join n y on y.name = name_b where 2 * common >= x.n + y.n - common
+""")
 def p3_found(spark, d):
     return similar_pairs(table(spark, d, "ltr_records"))
 
