@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retromill.config import Thresholds
-from retromill.shared import spread
+from retromill.functions.dna import CODES, encode
+from retromill.shared import materialize, spread
 
 #: ambiguity codes of sets of bases (fixed values)
 IUPAC = {
@@ -27,11 +29,49 @@ def iupac(bases: Column) -> Column:
     return F.coalesce(table[key], F.lit("N"))
 
 
+#: columns of count tables that a task holds at once
+HELD_COLUMNS = 1 << 20
+
+
 def column_counts(rows: DataFrame, family: str, row: str) -> DataFrame:
     """``family``, ``col``, ``a``, ``c``, ``g``, ``t``: bases in each column of aligned rows. Other letters and
-    gaps count for none; partial sums are made before the shuffle, so a family of any size is spread."""
-    cells = rows.where(F.col(row).isNotNull()).select(F.col(family).alias("family"), F.posexplode(F.split(F.upper(row), "")).alias("col", "base")).where("base <> ''")
-    return cells.groupBy("family", "col").agg(*(F.sum((F.col("base") == b).cast("long")).alias(b.lower()) for b in "ACGT"))
+    gaps count for none; partial sums are made before the shuffle, so a family of any size is spread.
+    The partial sums are small the more rows of one family lie in one partition."""
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    read = rows.where(F.col(row).isNotNull()).select(F.col(family).alias("family"), F.col(row).alias("row"))
+
+    def sums(held: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(held), 64):
+            part = list(held.items())[at : at + 64]
+            lens = [len(c) for _, c in part]
+            cells = np.concatenate([c for _, c in part])
+            names = pa.array([f for f, _ in part], kind).take(pa.array(np.repeat(np.arange(len(part)), lens)))
+            cols = np.concatenate([np.arange(n, dtype=np.int32) for n in lens])
+            yield pa.RecordBatch.from_arrays([names, pa.array(cols), *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(4))], ["family", "col", "a", "c", "g", "t"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size, kind = 0, None
+        for t in batches:
+            kind = t.column(0).type
+            codes, offsets = encode(t.column(1))
+            for f, lo, hi in zip(t.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                c, n = held.get(f), hi - lo
+                if c is None or len(c) < n:
+                    more = np.zeros((n, 5), np.int64)
+                    if c is not None:
+                        more[: len(c)] = c
+                    size += n - (0 if c is None else len(c))
+                    held[f] = c = more
+                c[np.arange(n), codes[lo:hi]] += 1
+                if size > HELD_COLUMNS:
+                    yield from sums(held, kind)
+                    held, size = {}, 0
+        yield from sums(held, kind)
+
+    cells = read.mapInArrow(over, StructType([read.schema["family"], StructField("col", IntegerType()), *(StructField(b, LongType()) for b in "acgt")]))
+    return cells.groupBy("family", "col").agg(*(F.sum(b).alias(b) for b in "acgt"))
 
 
 def majority(counts: DataFrame, n: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -87,39 +127,56 @@ def target_site(rows: DataFrame, family: str, left: str, right: str, most: int =
     )
 
 
-def _steps(a: bytes, b: bytes, band: int) -> tuple[int, list[tuple[int, str]]] | None:
-    """Edit distance and runs of a global alignment within ``band`` edits; None beyond. On a tie the
-    trace goes through a pair of letters, then through a letter of ``a`` alone."""
+#: columns of an alignment whose bits are kept at once
+BLOCK = 4096
+FLIP = str.maketrans("ACGTacgt", "TGCAtgca")
+
+
+def _sweep(bits: dict, text: str, n: int, vp: int, vn: int, d: int, kept: list) -> tuple[int, int, int]:
+    """The columns of ``text`` in the table of edit distances, each as bits over the ``n`` rows: in ``kept`` for each
+    where the diagonal step costs nothing, and where a row is one above the row before it."""
+    ones, top = (1 << n) - 1, n - 1
+    for x in text:
+        eq = bits.get(x, 0)
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & ones
+        hn = vp & d0
+        hp = vn | (ones ^ (vp | d0))
+        d += (hp >> top) - (hn >> top)
+        hp = (hp << 1) | 1
+        vn = hp & d0
+        vp = ((hn << 1) | (ones ^ ((hp | d0) & ones))) & ones
+        kept.append((d0, vp))
+    return vp, vn, d
+
+
+def _steps(a: str, b: str, band: int) -> tuple[int, list[tuple[int, str]]] | None:
+    """Edit distance and runs of a global alignment with at most ``band`` edits; None beyond. On a tie the
+    trace goes through a pair of letters, then through a letter of ``a`` alone. The table is kept as bits,
+    a block of columns at a time."""
     n, m = len(a), len(b)
     if not n or not m or abs(n - m) > band:
         return None
-    y = np.frombuffer(b, np.uint8)
-    wide = 2 * band + 1
-    far = 1 << 28
-    off = np.arange(wide) - band  # column minus row
-    rows = np.full((n + 1, wide), far, np.int32)
-    rows[0, band : band + min(m, band) + 1] = np.arange(min(m, band) + 1)
-    ramp = np.arange(wide, dtype=np.int32)
-    for i in range(1, n + 1):
-        j = off + i
-        ok = (j >= 1) & (j <= m)
-        cost = np.where(ok, y[np.clip(j - 1, 0, m - 1)] != a[i - 1], True)
-        best = np.minimum(np.where(ok, rows[i - 1] + cost, far), np.append(rows[i - 1, 1:], far) + 1)
-        if i <= band:
-            best[band - i] = i
-        best = np.where((j < 0) | (j > m), far, best)
-        rows[i] = np.minimum.accumulate(best - ramp) + ramp
-        rows[i, (j < 0) | (j > m)] = far
-    d = int(rows[n, m - n + band])
-    if d > band:
-        return None
+    letters = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+    bits = {x: int.from_bytes(np.packbits(letters == ord(x), bitorder="little").tobytes(), "little") for x in set(a)}
+    state, kept = ((1 << n) - 1, 0, n), []
+    starts = []
+    for at in range(0, m, BLOCK):
+        starts.append(state)
+        kept = []
+        state = _sweep(bits, b[at : at + BLOCK], n, *state, kept)
+        if state[2] - (m - min(at + BLOCK, m)) > band:
+            return None
+    d = state[2]
     runs: list[tuple[int, str]] = []
-    i, j = n, m
+    block, i, j = len(starts) - 1, n, m
     while i or j:
-        here, k = rows[i, j - i + band], j - i + band
-        if i and j and here == rows[i - 1, k] + (a[i - 1] != b[j - 1]):
+        if j and (j - 1) // BLOCK != block:
+            block, kept = (j - 1) // BLOCK, []
+            _sweep(bits, b[block * BLOCK : (block + 1) * BLOCK], n, *starts[block], kept)
+        d0, up = kept[j - 1 - block * BLOCK] if j else (0, 0)
+        if i and j and (a[i - 1] == b[j - 1] or not d0 >> (i - 1) & 1):
             op, i, j = "M", i - 1, j - 1
-        elif i and k + 1 < wide and here == rows[i - 1, k + 1] + 1:
+        elif i and (not j or up >> (i - 1) & 1):
             op, i = "D", i - 1
         else:
             op, j = "I", j - 1
@@ -130,23 +187,67 @@ def _steps(a: bytes, b: bytes, band: int) -> tuple[int, list[tuple[int, str]]] |
     return d, runs[::-1]
 
 
-def align_pairs(pairs: DataFrame, a: str, b: str, edit_frac: float) -> DataFrame:
-    """Adds ``edits`` and ``cigar`` (M a pair of letters, D a letter of ``a`` alone, I one of ``b`` alone);
-    null where a side is empty or the edits exceed ``edit_frac`` of the longer side. Spark finds the
-    distance first, and the trace then needs a band of only as many edits: a task holds one table of
-    rows by band at a time."""
-    from pyspark.sql.types import StringType, StructField, StructType
+@lru_cache(64)
+def _words(s: str, q: int) -> tuple[np.ndarray, np.ndarray]:
+    codes = CODES[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].astype(np.int64)
+    at = np.zeros(max(len(s) - q + 1, 0), np.int64)
+    for k in range(q):
+        at = at * 5 + codes[k : k + len(at)]
+    return np.unique(at, return_counts=True)
+
 
-    most = f"cast(greatest(length({a}), length({b})) * {edit_frac}D as int) + 1"
-    d = F.expr(f"case when length({a}) > 0 and length({b}) > 0 then nullif(levenshtein({a}, {b}, {most}), -1) end")
-    measured = spread(pairs, a, b).withColumn("edits", d)
+def _least_edits(a: str, b: str, q: int = 8) -> int:
+    """No alignment of the two has fewer edits: each edit takes away at most ``q`` of their common words."""
+    (x, nx), (y, ny) = _words(a, q), _words(b, q)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return max(0, -((int(np.minimum(nx[i], ny[j]).sum()) - max(len(a), len(b)) + q - 1) // q))
+
+
+def _either_strand(a: str, b: str, band: int) -> tuple[bool, tuple[int, list[tuple[int, str]]]] | None:
+    """The alignment of ``a`` with ``b`` or its reverse complement, whichever has fewer edits, as written on a
+    tie. The strand with more common words is aligned first, the other one only if it may win."""
+    turned = b.translate(FLIP)[::-1]
+    least = _least_edits(a, b), _least_edits(a, turned)
+    first = least[1] < least[0]
+    found = _steps(a, turned if first else b, band)
+    most = band if found is None else found[0] - (not first)
+    if least[not first] <= most:
+        other = _steps(a, b if first else turned, most)
+        if other is not None:
+            return not first, other
+    return None if found is None else (first, found)
+
+
+def align_pairs(pairs: DataFrame, a: str, b: str, edit_frac: float, strands: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``edits`` and ``cigar`` (M a pair of letters, D a letter of ``a`` alone, I one of ``b`` alone);
+    null where a side is empty or the edits exceed ``edit_frac`` of the longer side, rounded down, by more than one. With ``strands`` ``b`` is
+    turned where its reverse complement needs fewer edits, which ``is_rc`` tells. Pairs are spread by ``keys``, or all columns."""
+    from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+
+    added = [StructField("is_rc", BooleanType())] * strands + [StructField("edits", IntegerType()), StructField("cigar", StringType())]
+    pairs = spread(pairs, *(keys or pairs.columns))
+
+    def one(x: str | None, y: str | None):
+        if not x or not y:
+            return None
+        band = int(max(len(x), len(y)) * edit_frac) + 1
+        if strands:
+            return _either_strand(x, y, band)
+        found = _steps(x, y, band)
+        return found and (False, found)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            text = [None if d is None else "".join(f"{n}{op}" for n, op in _steps(x.encode(), y.encode(), d)[1]) for x, y, d in zip(*(t.column(c).to_pylist() for c in (a, b, "edits")))]
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(text, pa.string())], [*t.schema.names, "cigar"])
+            second = t.column(b).to_pylist()
+            found = [one(x, y) for x, y in zip(t.column(a).to_pylist(), second)]
+            columns = list(t.columns)
+            if strands:
+                columns[t.schema.get_field_index(b)] = pa.array([y.translate(FLIP)[::-1] if f and f[0] else y for f, y in zip(found, second)], pa.string())
+                columns.append(pa.array([f and f[0] for f in found], pa.bool_()))
+            columns += [pa.array([f and f[1][0] for f in found], pa.int32()), pa.array([f and "".join(f"{n}{op}" for n, op in f[1][1]) for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*t.schema.names, *(x.name for x in added)])
 
-    return measured.mapInArrow(over, StructType([*measured.schema.fields, StructField("cigar", StringType())]))
+    return pairs.mapInArrow(over, StructType([*pairs.schema.fields, *added]))
 
 
 def cigar_steps(cigar: Column) -> Column:
@@ -169,23 +270,32 @@ def aligned_rows(aligned: DataFrame, seq: str, cigar: str) -> DataFrame:
     return aligned.withColumn("row", F.when(F.col(cigar).isNotNull(), fold["row"]))
 
 
+def star_rows(members: DataFrame, edit_frac: float = 0.5) -> DataFrame:
+    """``family``, ``member``, ``is_rc``, ``edits``, ``cigar``, ``row``: each member aligned by itself to the ``centroid`` of its
+    family, on the strand that needs fewer edits, in the centroid's columns. Members without a sequence, beyond
+    the edits allowed, or of a family whose centroid has no sequence are kept with nulls. Members of a
+    family meet in parts of about 64, so that counting their columns shuffles little."""
+    whole = F.when(F.expr("member = centroid and length(seq) > 0"), F.col("seq"))
+    heads = members.groupBy("family").agg(F.max(whole).alias("cseq"), F.count(F.lit(1)).alias("_n"))
+    both = members.join(heads, "family").select("family", "member", "cseq", "seq", F.expr("pmod(xxhash64(member), ceil(_n / 64D))").alias("_part"))
+    found = align_pairs(both, "cseq", "seq", edit_frac, strands=True, keys=("family", "_part"))
+    return aligned_rows(found, "seq", "cigar").select("family", "member", "is_rc", "edits", "cigar", "row")
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """``family``, ``n`` (aligned members), ``n_failed`` (members without a row), for families with a row."""
+    return rows.groupBy("family").agg(F.count("row").alias("n"), F.sum(F.col("row").isNull().cast("long")).alias("n_failed")).where("n > 0")
+
+
 def star_consensus(members: DataFrame, t: Thresholds = Thresholds(), edit_frac: float = 0.5) -> DataFrame:
-    """``family``, ``n``, ``seq``: a consensus of each family, from ``family``, ``member``, ``seq`` and the
-    ``centroid`` of the family. Each member is aligned to the centroid by itself, on the strand that
-    needs fewer edits, and its bases are counted in the centroid's columns; then majority, conserved
-    boundaries and occupancy as above. Nothing but single pairs and column counts meets in a task."""
-    centre = members.where("member = centroid").select("family", F.col("seq").alias("cseq"))
-    both = members.join(centre, "family").where("length(seq) > 0 and length(cseq) > 0")
-    from retromill.functions.dna import reverse_complement
-
-    budget = f"cast(greatest(length(seq), length(cseq)) * {edit_frac}D as int) + 1"
-    both = spread(both, "member").withColumn("rc", reverse_complement(F.col("seq"))).withColumn("f", F.expr(f"levenshtein(cseq, seq, {budget})")).withColumn("r", F.expr(f"levenshtein(cseq, rc, {budget})"))
-    turned = (F.col("r") >= 0) & ((F.col("f") < 0) | (F.col("r") < F.col("f")))
-    both = both.select("family", "member", "cseq", F.when(turned, F.col("rc")).otherwise(F.col("seq")).alias("s"))
-    best = aligned_rows(align_pairs(both, "cseq", "s", edit_frac), "s", "cigar").where("row is not null").select("family", "member", "row")
-    n = best.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    cons = majority(column_counts(best, "family", "row"), n, t)
-    return trimmed(boundaries(cons, n, 2 * t.consensus), t).join(n, "family")
+    """``family``, ``n``, ``n_failed``, ``seq``: a consensus of each family, from ``family``, ``member``, ``seq`` and the
+    ``centroid`` of the family. Each member is aligned to the centroid by itself (:func:`star_rows`), and its
+    bases are counted in the centroid's columns; then majority, conserved boundaries and occupancy as above,
+    over the members that could be aligned. Nothing but parts of families and column counts meets in a task."""
+    rows, _ = materialize(star_rows(members, edit_frac).select("family", "row"))
+    n = sizes(rows)
+    cons = majority(column_counts(rows, "family", "row"), n.drop("n_failed"), t)
+    return trimmed(boundaries(cons, n.drop("n_failed"), 2 * t.consensus), t).join(n, "family").select("family", "n", "n_failed", "seq")
 
 
 def subfamily_tag(i: Column) -> Column:

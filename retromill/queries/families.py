@@ -8,7 +8,7 @@ from retromill.operators import consensus as cs
 from retromill.operators import graph
 from retromill.queries.registry import query
 from retromill.queries.sequences import records
-from retromill.shared import table
+from retromill.shared import materialize, table
 
 LINKS = """{records}, e as (select distinct least(name_a, name_b) as a, greatest(name_a, name_b) as b from match_pairs where name_a <> name_b and name_a in (select name from r) and name_b in (select name from r)),
 s as (select a, b from e union select b, a from e)"""
@@ -113,14 +113,21 @@ def target_sites(spark, d):
     return cs.target_site(e, "family", "flank_l", "flank_r").drop("tsd_conf")
 
 
+def whole_members(spark, d, fam, e):
+    """``family``, ``member``, ``seq`` (the whole element) and ``centroid``, the member with most links among those
+    that have a sequence, the smallest name on a tie; written once."""
+    both = fam.join(records(spark, d, "full_seq").select(F.col("name").alias("member"), F.col("full_seq").alias("seq")), "member")
+    both, _ = materialize(both)
+    known = both.where("seq <> ''").select("family", "member")
+    degree = known.select("member").distinct().join(graph.degrees(e, "a", "b").withColumnRenamed("node", "member"), "member", "left").select(F.col("member").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return both.join(graph.centroids(known, degree).select("family", "centroid"), "family", "left").select("family", "member", "seq", "centroid")
+
+
 @query()
 def star_consensus(spark, d):
-    """Consensi of the left repeats of all families: each member aligned to the centroid by itself."""
+    """Consensi of all families from whole elements: each member aligned to the centroid by itself."""
     e = links(spark, d)
-    fam = graph.families(e, "a", "b")
-    centre = graph.centroids(fam, graph.degrees(e, "a", "b")).select("family", "centroid")
-    seqs = records(spark, d, "ltr5").select(F.col("name").alias("member"), F.col("ltr5").alias("seq"))
-    return cs.star_consensus(fam.join(centre, "family").join(seqs, "member"))
+    return cs.star_consensus(whole_members(spark, d, graph.families(e, "a", "b"), e))
 
 
 @query()

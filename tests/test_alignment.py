@@ -157,3 +157,36 @@ def test_subfamily_letters(spark):
 def test_thresholds_are_the_80_80_80_rule():
     t = Thresholds()
     assert (t.min_identity, t.min_coverage, t.min_ltr_len) == (0.8, 0.8, 80)
+
+
+def rc(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def test_bit_tables_cut_into_blocks_give_the_same_traces(monkeypatch):
+    rng = random.Random(21)
+    for _ in range(60):
+        a = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 60)))
+        b = mutated(rng, a, rng.randrange(20)) or "A"
+        monkeypatch.setattr(cs, "BLOCK", 4096)
+        whole, strands = cs._steps(a, b, 99), cs._either_strand(a, rc(b), 99)
+        monkeypatch.setattr(cs, "BLOCK", 7)
+        assert whole[0] == lev(a, b) and cs._steps(a, b, 99) == whole
+        assert strands[1][0] == min(lev(a, b), lev(a, rc(b))) and strands[0] == (lev(a, b) < lev(a, rc(b)))
+        assert cs._least_edits(a, b) <= lev(a, b) and cs._steps(a, b, lev(a, b) - 1) is None
+
+
+def test_star_consensus_of_whole_elements(spark, tmp_path):
+    from retromill.queries.families import star_consensus
+
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a = letters(420)
+    seqs = {"a": "", "b": a, "c": rc(mutated(rng, a, 4)), "d": mutated(rng, a, 4), "e": mutated(rng, a, 4), "f": letters(420)}
+    # "a" has most links, but no sequence; "f" is like no other; left repeats are the first 90 bases only, or null
+    rows = [(n, s, s[:90] if n != "b" else None) for n, s in seqs.items()]
+    spark.createDataFrame(rows, "name string, full_seq string, ltr5 string").selectExpr("*", "timestamp'2020-01-01' as loaded_at").write.parquet(f"{tmp_path}/ltr_records.parquet")
+    spark.createDataFrame([("a", x) for x in "bcdef"] + [("b", x) for x in "cde"], "name_a string, name_b string").write.parquet(f"{tmp_path}/match_pairs.parquet")
+    got = star_consensus(spark, str(tmp_path)).collect()
+    assert [(r.n, r.n_failed) for r in got] == [(4, 2)]
+    assert len(got[0].seq) > 380 and lev(got[0].seq, a) <= 15  # the ends up to a conserved run are trimmed
