@@ -45,3 +45,17 @@ def length_histogram(rows: DataFrame, seq: str) -> DataFrame:
     b = F.floor(F.sqrt(F.length(seq).cast("double"))).cast("long")
     counted = rows.where(F.col(seq).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_seqs"))
     return counted.select("bin", (F.col("bin") * F.col("bin")).alias("from_len"), "n_seqs")
+
+
+def subsequences(sequences: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request``, ``part``: for each distinct ``request`` as 'name:start-end' (counted from 0, half-open) that stretch of the
+    sequence, in lower case, cut where it ends. Names may hold colons. A request that is not of this form
+    or whose sequence is not there has a null. ``sequences`` has ``name`` (once each) and ``seq``."""
+    form = r"^(.*):(\d+)-(\d+)$"
+    r = requests.select("request").where("request is not null").distinct()
+    r = r.select("request", *(F.regexp_extract("request", form, k).alias(c) for k, c in enumerate(("name", "s", "e"), 1)))
+    r = r.select("request", F.when(F.col("s") != "", F.col("name")).alias("name"), *(F.expr(f"try_cast({c} as bigint)").alias(c) for c in "se"))
+    # positions beyond the end of any string are all the same
+    cut = F.least("s", F.lit(1 << 30)), F.least("e", F.lit(1 << 30))
+    part = F.lower(F.substring("seq", (cut[0] + 1).cast("int"), F.greatest(cut[1] - cut[0], F.lit(0)).cast("int")))
+    return r.join(sequences.select("name", "seq"), "name", "left").select("request", part.alias("part"))

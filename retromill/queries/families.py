@@ -101,6 +101,52 @@ def occupancy_trim(spark, d):
     return cs.trimmed(cs.boundaries(cs.majority(counts, n), n))
 
 
+def whole_members(spark, d, fam, e):
+    """``family``, ``member``, ``seq`` (the whole element) and ``centroid``, the member with most links among those
+    that have a sequence, the smallest name on a tie; written once."""
+    both = fam.join(records(spark, d, "full_seq").select(F.col("name").alias("member"), F.col("full_seq").alias("seq")), "member")
+    both, _ = materialize(both)
+    known = both.where("seq <> ''").select("family", "member")
+    degree = known.select("member").distinct().join(graph.degrees(e, "a", "b").withColumnRenamed("node", "member"), "member", "left").select(F.col("member").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return both.join(graph.centroids(known, degree).select("family", "centroid"), "family", "left").select("family", "member", "seq", "centroid")
+
+
+def _whole(spark, d):
+    """Whole members of each consensus in the columns of their centroid, on both strands, written once: the column
+    counts, and how many could be aligned."""
+    rows, _ = materialize(cs.star_rows(whole_members(spark, d, held(spark, d), links(spark, d))).select("family", "row"))
+    return cs.column_counts(rows, "family", "row"), cs.sizes(rows)
+
+
+@query()
+def aligned_consensus(spark, d):
+    """Majority letters of the whole members of each consensus; ``n_failed`` members could not be aligned."""
+    counts, n = _whole(spark, d)
+    return cs.majority(counts, n.drop("n_failed")).join(n, "family").select("family", "n", "n_failed", "consensus")
+
+
+@query()
+def aligned_conservation(spark, d):
+    counts, n = _whole(spark, d)
+    total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
+    both = counts.join(n, "family")
+    return both.select("family", F.col("col").cast("long").alias("col"), F.round(F.greatest("a", "c", "g", "t") / F.col("n"), 6).alias("conservation"), F.round(total / F.col("n"), 6).alias("saturation"))
+
+
+@query()
+def aligned_bounds(spark, d):
+    counts, n = _whole(spark, d)
+    n = n.drop("n_failed")
+    return cs.boundaries(cs.majority(counts, n), n).where("first is not null").select("family", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+@query()
+def aligned_trim(spark, d):
+    counts, n = _whole(spark, d)
+    n = n.drop("n_failed")
+    return cs.trimmed(cs.boundaries(cs.majority(counts, n), n))
+
+
 @query(f"""with {{records}}, {HELD}, e as (select family, member, flank_l as l, flank_r as r2 from held join r on r.name = member where flank_l <> '' and flank_r <> ''), nn as (select family, count(*) as n_edges from e group by family),
 h as (select family, k, substr(r2, 1, k) as m from (select *, unnest(range(2, 14)) as k from e) where length(l) >= k and length(r2) >= k and right(l, k) = substr(r2, 1, k)),
 b as (select family, k, n_match from (select family, k, count(*) as n_match, row_number() over (partition by family order by count(*) desc, k) as best from h group by family, k) where best = 1),
@@ -113,16 +159,6 @@ def target_sites(spark, d):
     return cs.target_site(e, "family", "flank_l", "flank_r").drop("tsd_conf")
 
 
-def whole_members(spark, d, fam, e):
-    """``family``, ``member``, ``seq`` (the whole element) and ``centroid``, the member with most links among those
-    that have a sequence, the smallest name on a tie; written once."""
-    both = fam.join(records(spark, d, "full_seq").select(F.col("name").alias("member"), F.col("full_seq").alias("seq")), "member")
-    both, _ = materialize(both)
-    known = both.where("seq <> ''").select("family", "member")
-    degree = known.select("member").distinct().join(graph.degrees(e, "a", "b").withColumnRenamed("node", "member"), "member", "left").select(F.col("member").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    return both.join(graph.centroids(known, degree).select("family", "centroid"), "family", "left").select("family", "member", "seq", "centroid")
-
-
 @query()
 def star_consensus(spark, d):
     """Consensi of all families from whole elements: each member aligned to the centroid by itself."""

@@ -48,6 +48,14 @@ def subsequences(spark, d):
     return records(spark, d, "full_seq").select("name", F.lower(F.substring("full_seq", 11, 90)).alias("part"))
 
 
+@query()
+def requested_subsequences(spark, d):
+    """The stretches that requests 'name:start-end' name: here the words of 12 bases at which hits touch their partners."""
+    hits = table(spark, d, "seed_hits").where("partner is not null and pj is not null")
+    requests = hits.select(F.concat("partner", F.lit(":"), F.col("pj").cast("string"), F.lit("-"), (F.col("pj") + 12).cast("string")).alias("request"))
+    return stats.subsequences(records(spark, d, "full_seq").withColumnRenamed("full_seq", "seq"), requests)
+
+
 @query("with {records} select count(*) as n_seqs, cast(sum(length(full_seq)) as bigint) as total_len, round(avg(length(full_seq)), 2) as avg_len, min(length(full_seq)) as min_len, max(length(full_seq)) as max_len from r")
 def sequence_stats(spark, d):
     return stats.sequence_stats(records(spark, d, "full_seq"), "full_seq")

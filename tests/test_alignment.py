@@ -190,3 +190,48 @@ def test_star_consensus_of_whole_elements(spark, tmp_path):
     got = star_consensus(spark, str(tmp_path)).collect()
     assert [(r.n, r.n_failed) for r in got] == [(4, 2)]
     assert len(got[0].seq) > 380 and lev(got[0].seq, a) <= 15  # the ends up to a conserved run are trimmed
+
+
+def test_whole_members_of_a_consensus(spark, tmp_path):
+    from retromill.queries import families as q
+
+    rng = random.Random(41)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a = letters(300)
+    put = lambda s, i, x: s[:i] + x + s[i + 1 :]
+    change = lambda s, i: put(s, i, "C" if s[i] == "A" else "A")
+    # one more base near the beginning, the other strand, a changed base behind the sixtieth, a left repeat of 20 bases
+    seqs = {"a": a, "b": a[:5] + "T" + a[5:], "c": rc(change(a, 150)), "d": change(a, 200), "e": change(a, 250), "f": letters(300), "g": ""}
+    rows = [(n, s, s[:20]) for n, s in seqs.items()]
+    spark.createDataFrame(rows, "name string, full_seq string, ltr5 string").selectExpr("*", "timestamp'2020-01-01' as loaded_at").write.parquet(f"{tmp_path}/ltr_records.parquet")
+    spark.createDataFrame([("a", x) for x in "bcdefg"], "name_a string, name_b string").write.parquet(f"{tmp_path}/match_pairs.parquet")
+    spark.createDataFrame([("k", x) for x in [*seqs, "a"]], "consensus string, member string").write.parquet(f"{tmp_path}/members.parquet")
+    d = str(tmp_path)
+    assert [tuple(r) for r in q.aligned_consensus(spark, d).collect()] == [("k", 5, 2, a)]
+    want = {i: (0.8 if i in (150, 200, 250) else 1.0, 1.0) for i in range(300)}
+    assert {r.col: (r.conservation, r.saturation) for r in q.aligned_conservation(spark, d).collect()} == want
+    assert [tuple(r) for r in q.aligned_bounds(spark, d).collect()] == [("k", 0, 299)]
+    assert [tuple(r) for r in q.aligned_trim(spark, d).collect()] == [("k", a)]
+
+
+def test_column_counts_against_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(7)
+    rows = [(rng.choice("xyz"), "".join(rng.choice("ACGTacgtN-") for _ in range(rng.randrange(40)))) for _ in range(200)] + [("x", None), (None, "AC")]
+    want = {}
+    for f, s in rows:
+        for i, x in enumerate(s or ""):
+            want.setdefault((f, i), Counter())[x.upper()] += 1
+    monkeypatch.setattr(cs, "HELD_COLUMNS", 50)
+    got = cs.column_counts(spark.createDataFrame(rows, "f string, s string").repartition(3), "f", "s").collect()
+    assert {(r.family, r.col): (r.a, r.c, r.g, r.t) for r in got} == {k: tuple(c[b] for b in "ACGT") for k, c in want.items()}
+
+
+def test_requested_subsequences(spark):
+    from retromill.operators import stats
+
+    seqs = spark.createDataFrame([("x", "ACGTACGT"), ("y:z", "TTGA")], "name string, seq string")
+    asked = ["x:0-3", "x:0-3", "x:6-99", "x:3-3", "x:5-2", "y:z:1-3", "w:0-1", "x", "x:-1-3", "x:2-99999999999", None]
+    got = stats.subsequences(seqs, spark.createDataFrame([(r,) for r in asked], "request string")).collect()
+    assert {r.request: r.part for r in got} == {"x:0-3": "acg", "x:6-99": "gt", "x:3-3": "", "x:5-2": "", "y:z:1-3": "tg", "w:0-1": None, "x": None, "x:-1-3": None, "x:2-99999999999": "gtacgt"} and len(got) == 9
