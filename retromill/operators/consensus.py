@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -298,6 +299,89 @@ def star_consensus(members: DataFrame, t: Thresholds = Thresholds(), edit_frac:
     return trimmed(boundaries(cons, n.drop("n_failed"), 2 * t.consensus), t).join(n, "family").select("family", "n", "n_failed", "seq")
 
 
+def _inserted(cigar: str) -> Iterator[tuple[int, int, int]]:
+    """For each insertion of a CIGAR the column before which it lies, where it begins in the member, and its length."""
+    at = loc = 0
+    for n, op in re.findall(r"(\d+)([MDI])", cigar):
+        n = int(n)
+        if op == "I":
+            yield at, loc, n
+        at += n * (op != "I")
+        loc += n * (op != "D")
+
+
+def insertion_widths(aligned: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``family``, ``ins``: the columns before which members have letters of their own, and how many columns these get: as
+    many as the longest insertion there, but where all would be more than the consensus has letters, at most
+    the greatest number at which they are not. ``lengths`` has ``family`` and ``len`` of the consensus."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            found = [(k, at, n) for k, c in enumerate(t.column(1).to_pylist()) for at, _, n in _inserted(c)]
+            k, at, n = (np.array([x[c] for x in found], np.int32) for c in range(3))
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(k)), pa.array(at), pa.array(n)], ["family", "at", "n"])
+
+    rows = aligned.where("cigar is not null").select("family", "cigar")
+    widths = rows.mapInArrow(over, StructType([rows.schema["family"], StructField("at", IntegerType()), StructField("n", IntegerType())])).groupBy("family", "at").agg(F.max("n").alias("n"))
+    ins = widths.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("ins")).join(lengths, "family")
+
+    def capped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            made = []
+            for ins, most in zip(t.column(1).to_pylist(), t.column(2).to_pylist()):
+                wide = np.array([x["n"] for x in ins])
+                low, high = 0, int(wide.max())
+                while wide.sum() > most and low < high:
+                    mid = (low + high + 1) // 2
+                    low, high = (mid, high) if np.minimum(wide, mid).sum() <= most else (low, mid - 1)
+                made.append([{"at": x["at"], "n": min(x["n"], high)} for x in ins])
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(made, t.schema.field(1).type)], t.schema.names[:2])
+
+    return ins.select("family", "ins", "len").mapInArrow(capped, StructType([ins.schema["family"], ins.schema["ins"]]))
+
+
+def with_insertions(aligned: DataFrame) -> DataFrame:
+    """``row`` with the columns of ``ins`` put in, and ``n_cut``, how many letters had no column there."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    def one(row: str | None, seq: str, cigar: str, ins: list | None) -> tuple[str | None, int | None]:
+        if row is None:
+            return None, None
+        own = {at: seq[loc : loc + n] for at, loc, n in _inserted(cigar)}
+        out, last, cut = [], 0, 0
+        for x in ins or []:
+            text = own.get(x["at"], "")
+            cut += max(0, len(text) - x["n"])
+            out += [row[last : x["at"]], text[: x["n"]].ljust(x["n"], "-")]
+            last = x["at"]
+        return "".join([*out, row[last:]]), cut
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            made = [one(*x) for x in zip(*(t.column(c).to_pylist() for c in ("row", "seq", "cigar", "ins")))]
+            columns = list(t.columns)
+            columns[t.schema.get_field_index("row")] = pa.array([r for r, _ in made], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in made], pa.int64())], [*t.schema.names, "n_cut"])
+
+    return aligned.mapInArrow(over, StructType([*aligned.schema.fields, StructField("n_cut", LongType())]))
+
+
+def consensus_rows(members: DataFrame, consensi: DataFrame, edit_frac: float = 0.5) -> DataFrame:
+    """``family``, ``ord``, ``member``, ``is_rc``, ``edits``, ``cigar``, ``row``, ``n_cut``: the members (``family``, ``member``, ``seq``)
+    aligned to the consensus of their family (``family``, ``cseq``) on the strand that needs fewer edits, with columns
+    for insertions. The consensus itself has ``ord`` 0 and no member; a member that could not be aligned, or whose
+    family has no consensus, is kept with nulls."""
+    n = members.groupBy("family").agg(F.count(F.lit(1)).alias("_n"))
+    both = members.join(n, "family").join(consensi, "family", "left").select("family", "member", "cseq", "seq", F.expr("pmod(xxhash64(member), ceil(_n / 64D))").alias("_part"))
+    found = align_pairs(both, "cseq", "seq", edit_frac, strands=True, keys=("family", "_part"))
+    found = aligned_rows(found, "seq", "cigar").select("family", F.lit(1).alias("ord"), "member", "seq", "is_rc", "edits", "cigar", "row")
+    found, _ = materialize(found)
+    own = consensi.select("family", F.lit(0).alias("ord"), F.lit(None).cast("string").alias("member"), F.col("cseq").alias("seq"), F.lit(False).alias("is_rc"), F.lit(0).alias("edits"), F.concat(F.length("cseq").cast("string"), F.lit("M")).alias("cigar"), F.col("cseq").alias("row"))
+    ins = insertion_widths(found, consensi.select("family", F.length("cseq").alias("len")))
+    return with_insertions(found.unionByName(own).join(ins, "family", "left")).drop("seq", "ins")
+
+
 def subfamily_tag(i: Column) -> Column:
     """a..z, aa..zz, aaa.. for 0-based numbers."""
     return F.repeat(F.char((i % 26 + 97).cast("long")), (F.floor(i / 26) + 1).cast("int"))

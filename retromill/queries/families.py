@@ -168,14 +168,11 @@ def star_consensus(spark, d):
 
 @query()
 def consensus_alignments(spark, d):
-    """The left repeats of each family in the columns of their centroid."""
+    """The whole elements of each family in the columns of their consensus, with columns for insertions."""
     e = links(spark, d)
-    fam = graph.families(e, "a", "b")
-    centre = graph.centroids(fam, graph.degrees(e, "a", "b")).select("family", "centroid")
-    seqs = records(spark, d, "ltr5").select(F.col("name").alias("member"), F.col("ltr5").alias("seq")).where("seq <> ''")
-    both = fam.join(seqs, "member").join(centre, "family").join(seqs.select(F.col("member").alias("centroid"), F.col("seq").alias("cseq")), "centroid")
-    found = cs.aligned_rows(cs.align_pairs(both.select("family", "member", "cseq", "seq"), "cseq", "seq", 0.5), "seq", "cigar")
-    return found.where("row is not null").select("family", "member", "edits", "cigar", "row")
+    members, _ = materialize(whole_members(spark, d, graph.families(e, "a", "b"), e))
+    consensi, _ = materialize(cs.star_consensus(members).where("seq <> ''").select("family", F.col("seq").alias("cseq")))
+    return cs.consensus_rows(members, consensi)
 
 
 @query("""with recursive {records}, c as (select distinct name, cluster, tag, num_sequences, tsd_len, tsd_conf, tsd_motif, upper(seq) as seq from consensi where name is not null and seq is not null)

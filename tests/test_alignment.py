@@ -235,3 +235,57 @@ def test_requested_subsequences(spark):
     asked = ["x:0-3", "x:0-3", "x:6-99", "x:3-3", "x:5-2", "y:z:1-3", "w:0-1", "x", "x:-1-3", "x:2-99999999999", None]
     got = stats.subsequences(seqs, spark.createDataFrame([(r,) for r in asked], "request string")).collect()
     assert {r.request: r.part for r in got} == {"x:0-3": "acg", "x:6-99": "gt", "x:3-3": "", "x:5-2": "", "y:z:1-3": "tg", "w:0-1": None, "x": None, "x:-1-3": None, "x:2-99999999999": "gtacgt"} and len(got) == 9
+
+
+def expanded(cons, captured):
+    """Rows with insertion columns, column by column, and the cap on their number by trial."""
+    steps = lambda c: [(int(n), op) for n, op in __import__("re").findall(r"(\d+)([MDI])", c)]
+    ins = [0] * (len(cons) + 1)
+    for _, cigar in captured:
+        at = 0
+        for n, op in steps(cigar):
+            if op == "I":
+                ins[at] = max(ins[at], n)
+            else:
+                at += n
+    cap = max(ins)
+    while sum(min(v, cap) for v in ins) > len(cons):
+        cap -= 1
+    ins = [min(v, cap) for v in ins]
+    rows = []
+    for seq, cigar in [(cons, f"{len(cons)}M"), *captured]:
+        cells, own, at, loc = ["-"] * len(cons), [""] * (len(cons) + 1), 0, 0
+        for n, op in steps(cigar):
+            if op == "M":
+                cells[at : at + n] = seq[loc : loc + n]
+            if op == "I":
+                own[at] = seq[loc : loc + n]
+            at, loc = at + n * (op != "I"), loc + n * (op != "D")
+        rows.append(("".join(o[:w].ljust(w, "-") + c for o, w, c in zip(own, ins, [*cells, ""])), sum(max(0, len(o) - w) for o, w in zip(own, ins))))
+    return rows
+
+
+def test_alignments_to_the_consensus_against_brute_force(spark):
+    rng = random.Random(51)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a = letters(120)
+    wide = lambda at, n: a[:at] + letters(n) + a[at:]
+    families = {
+        1: {"m1": a[:40] + "TTT" + a[40:], "m2": rc(a[:40] + "TTTTT" + a[45:]), "m3": mutated(rng, a, 9), "m4": "G" * 7 + a + "CC", "m5": letters(300), "m6": ""},
+        2: {"w1": wide(30, 100), "w2": rc(wide(80, 90)), "w3": wide(100, 5)},
+        3: {"x1": a},
+    }
+    rows = [(f, m, s) for f, members in families.items() for m, s in members.items()]
+    cons = spark.createDataFrame([(1, a), (2, a)], "family long, cseq string")
+    got = cs.consensus_rows(spark.createDataFrame(rows, "family long, member string, seq string"), cons).collect()
+    assert len(got) == len(rows) + 2
+    assert sorted(r.member for r in got if r.row is None) == ["m5", "m6", "x1"]
+    assert {r.member for r in got if r.is_rc} == {"m2", "w2"}
+    for f in (1, 2):
+        ok = [r for r in got if r.family == f and r.row is not None]
+        mine = sorted((r for r in ok if r.ord), key=lambda r: r.member)
+        turned = [rc(families[f][r.member]) if r.is_rc else families[f][r.member] for r in mine]
+        assert [r.edits for r in mine] == [lev(a, s) for s in turned]
+        want = expanded(a, [(s, r.cigar) for s, r in zip(turned, mine)])
+        assert [(r.row, r.n_cut) for r in [*(r for r in ok if not r.ord), *mine]] == want
+        assert (f == 2) == any(n for _, n in want)
