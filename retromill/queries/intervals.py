@@ -97,6 +97,22 @@ def lift_through_layers(spark, d):
     return co.lift_through(points(spark, d, "r1s"), [layer, layer]).select("aln_id", "entity", "lifted")
 
 
+@query()
+def lift_through_rounds(spark, d):
+    """Starts of all elements in the original sequences: those of a round are read as positions of the sequences that the
+    rounds before it left, and lifted through the maps of these rounds, one map for each round, the newest first."""
+    a = alignments(spark, d).where("round >= 1")
+    most = a.agg(F.max("round").alias("most")).first()["most"] or 1
+    entity = F.col("scaffold_idx").cast("long").alias("entity")
+    found = a.where("r1s is not null").select("aln_id", entity, "round", F.col("r1s").alias("pos"))
+    for k in range(most - 1, 0, -1):
+        out = a.where((F.col("round") == k) & F.col("r1e").isNotNull()).select(entity, F.col("r1s").alias("s"), F.col("r2e").alias("e"), F.greatest(F.col("r1e") - F.col("r1s"), F.lit(0)).alias("unit"))
+        layer = merge_events(out, "entity", "s", "e", "unit").select("entity", F.col("orig_start"), F.col("orig_end"), F.least("unit_len", F.col("orig_end") - F.col("orig_start")).alias("unit_len"))
+        lifted = co.lift_through(found.where(F.col("round") > k), [layer]).select("aln_id", "entity", "round", F.col("lifted").alias("pos"))
+        found = found.where(F.col("round") <= k).unionByName(lifted)
+    return found.select("aln_id", "entity", "round", F.col("pos").alias("lifted"))
+
+
 @query(f"""with {ALIGNS}, {MERGED}, {SHIFTS}, t as (select entity, sum(removed) as taken, count(*) as n from sh group by entity)
 select cast(seq_index as bigint) as entity, scaf_len as orig_len, cast(scaf_len - coalesce(taken, 0) as bigint) as short_len, coalesce(n, 0) as n_events from scaffolds left join t on entity = seq_index where scaf_len is not null""")
 def map_info(spark, d):

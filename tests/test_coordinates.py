@@ -86,3 +86,14 @@ def test_masks(spark):
     e = spark.createDataFrame([(0, 0, 2, 0), (0, 4, 6, 1), (0, 6, 7, 1), (0, 9, 99, 0), (2, 5, 9, 0)], "entity long, orig_start long, orig_end long, unit_len long")
     assert {r.entity: r.seq for r in co.mask_sequences(s, e).collect()} == {0: "NNGTNNNTAN", 1: "ACGT", 2: ""}
     assert {r.entity: r.seq for r in co.mask_sequences(s, e, soft=True).collect()} == {0: "acGTacgTAc", 1: "ACGT", 2: ""}
+
+
+def test_rounds_are_lifted_through_their_own_maps(spark, tmp_path):
+    from retromill.queries.intervals import lift_through_rounds
+
+    # round 1 takes out 20-60 but for 10, round 2 then 50-80 but for 5, in the positions that round 1 left
+    rows = [(1, 20, 30, 50, 60, 1), (2, 50, 55, 75, 80, 2), (3, 10, 12, 14, 16, 3), (4, 40, 42, 44, 46, 3), (5, 90, 92, 94, 96, 3)]
+    df = spark.createDataFrame(rows, "aln_id long, r1s long, r1e long, r2s long, r2e long, round int").selectExpr("*", "0 as scaffold_idx", "timestamp'2020-01-01' as loaded_at")
+    df.write.parquet(f"{tmp_path}/ltr_aligns.parquet")
+    got = {r.aln_id: r.lifted for r in lift_through_rounds(spark, str(tmp_path)).collect()}
+    assert got == {1: 20, 2: 80, 3: 10, 4: 70, 5: 145}
