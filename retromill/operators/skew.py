@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retromill.shared import materialize
+
 
 def distinct_hits(hits: DataFrame) -> DataFrame:
     """One row for each ``hit_id``, by partial aggregation; where repeated rows differ, the one with
@@ -19,7 +21,7 @@ def eager_counts(hits: DataFrame, members: DataFrame, consensi: DataFrame) -> Da
 
     Eager aggregation: the hits are first reduced to one compact state (name, partner, number of
     hits), for which the shuffle is on both columns, so that the hits of a hot name spread over its
-    partners. Both results come from these states by sums: within a name each partner is one state,
+    partners. The states are written once. Both results come from these states by sums: within a name each partner is one state,
     so distinct partners are counted without keeping them. For ``num_sequences`` the states are
     reduced to one row for each partner *before* the join; the other side is one row for each
     (member, value), so the join multiplies nothing and its counts add up. All later groupings
@@ -30,7 +32,7 @@ def eager_counts(hits: DataFrame, members: DataFrame, consensi: DataFrame) -> Da
     two consensi of one value counts once for it, in two of different values for each. Empty tables
     give no rows.
     """
-    states = distinct_hits(hits).groupBy("name", "partner").agg(F.count(F.lit(1)).alias("n"))
+    states, _ = materialize(distinct_hits(hits).groupBy("name", "partner").agg(F.count(F.lit(1)).alias("n")))
     per_name = (
         states.where("name is not null")
         .groupBy(F.col("name").alias("key_name"))
