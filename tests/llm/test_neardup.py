@@ -38,19 +38,49 @@ def family(dna, rng, n, edits, tag):
         yield (f"{tag}{i}", *own)
 
 
-@pytest.mark.parametrize("cell", [200, 3])
-def test_against_brute_force(make_records, dna, monkeypatch, cell):
+def cases(dna):
     rng = random.Random(8)
-    monkeypatch.setattr(neardup, "CELL", cell)
-    monkeypatch.setattr(neardup, "BLOCK", 256 if cell == 200 else 4)
     rows = [*family(dna, rng, 12, 2, "a"), *family(dna, rng, 12, 9, "b"), *family(dna, rng, 6, 25, "c")]
     copy = rows[3]
     rows += [("copy1", *copy[1:]), ("copy2", *copy[1:]), copy, ("low", *(s.lower() for s in copy[1:]))]
     rows += [("none", "", None, "ACGTNNNNACGT"), ("empty", None, None, None), (None, *copy[1:]), ("one", "ACGTACGTACGA", "", ""), ("two", "ACGTACGTACGAC", None, ""), ("same", "ACGTACGTACGA", "", "")]
-    got = [tuple(r) for r in neardup.similar_pairs(make_records(rows)).collect()]
+    return rows
+
+
+@pytest.mark.parametrize("probes", [neardup.PROBES, None])
+@pytest.mark.parametrize("block", [256, 4])
+def test_against_brute_force(make_records, dna, monkeypatch, block, probes):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COPIES", 1000 if block == 256 else 2)
+    rows = cases(dna)
+    got = [tuple(r) for r in neardup.similar_pairs(make_records(rows), probes=probes).collect()]
     assert set(got) == brute(rows, 0.5) and len(got) == len(set(got))
 
 
+def test_bound_drops_unlike_pairs_only(spark, sf, monkeypatch):
+    """On the tables the segment counts drop candidates, and none that is alike."""
+    seen, real = spark.sparkContext.accumulator(0), neardup._bounded
+    kept = spark.sparkContext.accumulator(0)
+
+    def counted(share):
+        def over(batches):
+            def tally(b):
+                for x in b:
+                    seen.add(x.num_rows)
+                    yield x
+
+            for y in real(share)(tally(batches)):
+                kept.add(y.num_rows)
+                yield y
+
+        return over
+
+    records = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/ltr_records.parquet")
+    monkeypatch.setattr(neardup, "_bounded", counted)
+    found = neardup.similar_pairs(records).count()
+    assert found and 0 < kept.value < seen.value
+
+
 def test_packing_round_trip(dna):
     import numpy as np
 
