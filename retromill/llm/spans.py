@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retromill.functions.dna import encode, pieces, scramble, valid_windows, word_codes
+from retromill.functions.groups import whole_groups
 from retromill.shared import join_hot_keys, materialize
 from retromill.sources.records import distinct_records
 
@@ -17,6 +18,9 @@ BASE = 0x9E3779B97F4A7C15
 ANCHOR = 24
 #: an anchor is expected in at most so many runs for its runs to be compared within one task
 IN_ONE_TASK = 20_000
+#: up to so many hot anchors are broadcast; more are joined by a shuffle in which the runs of each are cut in so many parts
+MOST_BROADCAST = 100_000
+SALTS = 64
 FIELDS = ("ltr5", "internal")
 RUN = "anchor long, rec long, place long, bases binary"
 INTERVAL = "rec long, field int, s long, e long"
@@ -142,24 +146,21 @@ def _compare(size: int):
         yield _intervals(rec, place, shared, size)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(anchor, anchor[-1], "left"))
-            if held and (cut or held[-1].column("anchor")[-1].as_py() != anchor[0]):
-                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield from found(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield from found(pa.Table.from_batches(held))
+        for batch in whole_groups(batches, "anchor"):
+            yield from found(pa.Table.from_batches([batch]))
 
     return over
 
 
+def _parted(runs: DataFrame, hot: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The runs without and with the ``n`` hot anchors. The runs of a hot anchor never meet in one task for it."""
+    if n <= MOST_BROADCAST:
+        return tuple(runs.join(F.broadcast(hot), "anchor", how) for how in ("left_anti", "left_semi"))
+    salted = runs.withColumn("salt", F.pmod("rec", F.lit(SALTS)))
+    keys = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return tuple(salted.join(keys, ["anchor", "salt"], how).select(*runs.columns) for how in ("left_anti", "left_semi"))
+
+
 def _hot_intervals(runs: DataFrame, size: int) -> DataFrame:
     """The same for runs of anchors that very many runs have: equal runs are reduced to one state,
     each window is counted by its hash over all states with partial aggregation, and the marks come
@@ -204,8 +205,9 @@ def shared_spans(records: DataFrame, size: int = 80, in_one_task: int = IN_ONE_T
     shuffle, consecutive windows with the same anchor (the 24-base word of least hash, which depends
     on the window's bases alone, so equal windows have equal anchors) travel together as one run of
     packed bases, about a thirtieth as many rows, and are hashed where they are counted. Anchors
-    with very many runs are found from a sixteenth of the records; for these every window is counted
-    by its own hash with partial aggregation. The sample only chooses between two exact ways.
+    with more than about ``in_one_task`` runs, a number that does not grow with the data, are found from a sixteenth
+    of the records; for these every window is counted by its own hash with partial aggregation. The sample only chooses
+    between two exact ways.
 
     Null and empty fields, fields shorter than ``size`` and letters other than ACGT give no windows.
     A repeated name is one record, so its copies share nothing with each other. A string of any
@@ -215,18 +217,14 @@ def shared_spans(records: DataFrame, size: int = 80, in_one_task: int = IN_ONE_T
     if not 1 <= width <= 62:
         raise ValueError("size must be 24 to 85")
     base = distinct_records(records, *FIELDS).withColumn("rec", F.monotonically_increasing_id())
-    base, facts = materialize(base.select("rec", "name", *FIELDS), F.coalesce(F.sum(F.length("ltr5") + F.length("internal")), F.lit(0)).alias("letters"))
-    expected = facts["letters"] * 2 // width
-    limit = max(in_one_task, expected // 1000)
-    hot = base.where("pmod(rec, 16) = 0").mapInArrow(_runs(size, 1), "anchor long").groupBy("anchor").count().where(F.col("count") * 16 > limit).select("anchor")
+    base, _ = materialize(base.select("rec", "name", *FIELDS))
+    hot = base.where("pmod(rec, 16) = 0").mapInArrow(_runs(size, 1), "anchor long").groupBy("anchor").count().where(F.col("count") * 16 > in_one_task).select("anchor")
     hot, some = materialize(hot, F.count(F.lit(1)).alias("n"))
     runs = base.mapInArrow(_runs(size, 0), RUN)
-    cold = runs
-    if some["n"]:
-        cold = runs.join(F.broadcast(hot), "anchor", "left_anti")
+    cold, often = _parted(runs, hot, some["n"]) if some["n"] else (runs, None)
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(size), INTERVAL)
     if some["n"]:
-        found = found.unionByName(_hot_intervals(runs.join(F.broadcast(hot), "anchor", "left_semi"), size))
+        found = found.unionByName(_hot_intervals(often, size))
     before = F.max("e").over(Window.partitionBy("rec", "field").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     lengths = found.withColumn("from", F.greatest("s", F.coalesce(before, F.lit(0)))).groupBy("rec", "field").agg(F.sum(F.greatest(F.col("e") - F.col("from"), F.lit(0))).alias("shared_len"))
     names = F.when(F.col("field") == 0, FIELDS[0]).otherwise(FIELDS[1])

@@ -35,7 +35,9 @@ def test_against_brute_force(make_records, dna, limit):
     assert {tuple(r) for r in got} == brute(rows, 80) and len(got) == len(brute(rows, 80))
 
 
-def test_hot_anchors_take_the_other_way(spark, make_records, dna, monkeypatch):
+@pytest.mark.parametrize("most", [spans.MOST_BROADCAST, 0])
+def test_hot_anchors_take_the_other_way(spark, make_records, dna, monkeypatch, most):
+    monkeypatch.setattr(spans, "MOST_BROADCAST", most)
     x = dna(300)
     rows = [(f"n{i}", x[: 100 + i % 50], dna(100), "") for i in range(120)]
     real, used = spans._hot_intervals, []
@@ -44,5 +46,22 @@ def test_hot_anchors_take_the_other_way(spark, make_records, dna, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows, 80) and used
 
 
+def test_an_anchor_in_all_records_at_the_default_limit(spark, make_records, dna, monkeypatch):
+    x, n = dna(90), 24_000
+    real, used, sizes = spans._hot_intervals, [], spark.sparkContext.accumulator(0)
+    whole = spans.whole_groups
+
+    def watched(batches, *keys):
+        for b in whole(batches, *keys):
+            sizes.add(b.num_rows if b.num_rows > 2 * spans.IN_ONE_TASK else 0)
+            yield b
+
+    monkeypatch.setattr(spans, "_hot_intervals", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(spans, "whole_groups", watched)
+    rows = [(f"n{i}", x, dna(40), "") for i in range(n)]
+    got = spans.shared_spans(make_records(rows), 80)
+    assert {(r.field, r.shared_len) for r in got.collect()} == {("ltr5", 90)} and got.count() == n and used and not sizes.value
+
+
 def test_empty(make_records):
     assert spans.shared_spans(make_records([])).collect() == []
