@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,14 @@ BLOCK = 4096
 TERMS = 1024
 
 
-def _pack_block(packed: np.ndarray, bits: int, records: int) -> Iterator[pa.RecordBatch]:
-    """``packed``: term << 12 | record, for each occurrence in one block. For each group of terms:
-    the cardinalities, the identifiers (a sorted list, or a bitmap where that is smaller) and the
+#: occurrences after which the part of a block that is held is passed on
+HELD = 1 << 23
+HEAD = np.dtype([("block", np.int64), ("bitmap", np.int32), ("extra", np.int32), ("split", np.int32), ("pad", np.int32)])
+
+
+def _pack_block(packed: np.ndarray, bits: int, records: int, block: int, split: bool) -> Iterator[pa.RecordBatch]:
+    """``packed``: term << 12 | record, for each occurrence in one block, or with ``split`` a part of it. For each
+    group of terms: the cardinalities, the identifiers (a sorted list, or a bitmap where that is smaller) and the
     occurrences beyond the first of each record."""
     packed.sort()
     new = np.append(True, packed[1:] != packed[:-1]) if len(packed) else np.zeros(0, bool)
@@ -44,23 +50,19 @@ def _pack_block(packed: np.ndarray, bits: int, records: int) -> Iterator[pa.Reco
         counts[terms[a:b] % TERMS] = card[a:b]
         lo, hi = int(begin[a]), int(begin[b - 1] + card[b - 1])
         wide = np.flatnonzero(card[a:b] * 2 > bitmap_bytes)
-        if len(wide):
-            parts = []
-            done = lo
-            for w in wide + a:
-                parts.append(rec[done : begin[w]].tobytes())
-                done = int(begin[w] + card[w])
-                marks = np.zeros(bitmap_bytes * 8, bool)
-                marks[rec[begin[w] : done]] = True
-                parts.append(np.packbits(marks).tobytes())
-            ids = b"".join([*parts, rec[done:hi].tobytes()])
-        else:
-            ids = rec[lo:hi].tobytes()
+        parts = []
+        done = lo
+        for w in wide + a:
+            parts.append(rec[done : begin[w]].tobytes())
+            done = int(begin[w] + card[w])
+            marks = np.zeros(bitmap_bytes * 8, bool)
+            marks[rec[begin[w] : done]] = True
+            parts.append(np.packbits(marks).tobytes())
         more = occ[a:b] - card[a:b]
         extra = np.flatnonzero(more)
-        head = np.array([bitmap_bytes, len(extra)], np.int32).tobytes()
+        head = np.array([(block, bitmap_bytes, len(extra), split, 0)], HEAD).tobytes()
         out["bucket"].append(g)
-        out["payload"].append(b"".join([head, counts.tobytes(), (terms[a:b][extra] % TERMS).astype(np.uint16).tobytes(), more[extra].astype(np.int64).tobytes(), ids]))
+        out["payload"].append(b"".join([head, counts.tobytes(), (terms[a:b][extra] % TERMS).astype(np.uint16).tobytes(), more[extra].astype(np.int64).tobytes(), *parts, rec[done:hi].tobytes()]))
         if len(out["bucket"]) == 64:
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
             out = {"bucket": [], "payload": []}
@@ -68,59 +70,89 @@ def _pack_block(packed: np.ndarray, bits: int, records: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
 
-def _layout(k: int):
-    """Blocks of the vertical layout from batches of records."""
-    block, step = BLOCK, min(512, BLOCK)
+def _layout(k: int, most: int, limit: int):
+    """Blocks of the vertical layout from batches of records. A block of texts so long that their words may not be
+    held at once is passed on in parts under one number."""
+    step = min(512, most)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        records, size = 0, 0
+        records = size = 0
+        split = False
+        block = TaskContext.get().partitionId() << 32
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
+                yield from _pack_block(np.concatenate(held), 2 * k, most if split else records, block, split)
+            held, size = [], 0
+
         for whole in batches:
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
-                if records + batch.num_rows > block or size > 1 << 23:
-                    if held:
-                        yield from _pack_block(np.concatenate(held), 2 * k, records)
-                    held, records, size = [], 0, 0
+                if records + batch.num_rows > most or size > limit:
+                    yield from flush()
+                    records, split, block = 0, False, block + 1
                 for name in FIELDS:
                     codes, offsets = encode(batch.column(name))
-                    for part, off, of, _ in pieces(codes, offsets, k - 1):
+                    for part, off, of, _ in pieces(codes, offsets, k - 1, min(1 << 22, limit)):
                         ok = valid_windows(part, off, k)
                         if not len(ok):
                             continue
+                        if size + len(ok) > 2 * limit:
+                            split = True
+                            yield from flush()
                         word = word_codes(part, k, np.uint32)
                         who = of[string_of_position(off, len(word))].astype(np.uint32) + np.uint32(records)
                         held.append(((word << np.uint32(12)) | who)[ok])
                         size += len(held[-1])
                 records += batch.num_rows
-        if held:
-            yield from _pack_block(np.concatenate(held), 2 * k, records)
+        yield from flush()
 
     return over
 
 
+def _sets(payload: bytes) -> tuple[int, bool, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """What a row of the layout holds: block, whether it is a part of one, cardinality of each term's list, the lists
+    end to end, the bitmaps with their terms, and the terms with further occurrences and how many."""
+    head = np.frombuffer(payload, HEAD, 1)[0]
+    wide, n = int(head["bitmap"]), int(head["extra"])
+    counts = np.frombuffer(payload, np.uint16, TERMS, HEAD.itemsize).astype(np.int64)
+    at = HEAD.itemsize + 2 * TERMS
+    which, more = np.frombuffer(payload, np.uint16, n, at), np.frombuffer(payload, np.int64, n, at + 2 * n)
+    at += 10 * n
+    is_map = counts * 2 > wide
+    begin = at + np.append(0, np.cumsum(np.where(is_map, wide, counts * 2)))
+    if begin[-1] != len(payload):
+        raise ValueError("a block of the term layout is damaged")
+    maps = [(int(t), np.frombuffer(payload, np.uint8, wide, int(begin[t]))) for t in np.flatnonzero(is_map)]
+    cut = [at, *(x for t, _ in maps for x in (int(begin[t]), int(begin[t + 1]))), len(payload)]
+    lists = np.concatenate([np.frombuffer(payload[a:b], np.uint16) for a, b in zip(cut[::2], cut[1::2])])
+    return int(head["block"]), bool(head["split"]), np.where(is_map, 0, counts), lists, maps, which, more
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the blocks of each group of terms. Blocks hold different records, so the union of their
-    identifier sets has the sum of their cardinalities, which are read from the sets."""
+    """Merge the rows of each group of terms by union of their sets, and read the cardinalities. Sets of
+    different blocks hold different records; the parts of one block, which all come from one task, may hold the same
+    ones and are united identifier by identifier."""
     state: dict[int, np.ndarray] = {}
+    parts: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
         for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
-            bitmap_bytes, extra = np.frombuffer(payload, np.int32, 2)
-            counts = np.frombuffer(payload, np.uint16, TERMS, 8).astype(np.int64)
-            at = 8 + 2 * TERMS
-            which, more = np.frombuffer(payload, np.uint16, extra, at), np.frombuffer(payload, np.int64, extra, at + 2 * int(extra))
-            at += 10 * int(extra)
-            sizes = np.where(counts * 2 > bitmap_bytes, bitmap_bytes, counts * 2)
-            begin = at + np.append(0, np.cumsum(sizes))
-            if begin[-1] != len(payload):
-                raise ValueError("a block of the term layout is damaged")
-            found = sizes // 2
-            for t in np.flatnonzero(counts * 2 > bitmap_bytes):
-                found[t] = np.bitwise_count(np.frombuffer(payload, np.uint8, bitmap_bytes, int(begin[t]))).sum()
+            block, split, size, lists, maps, which, more = _sets(payload)
             own = state.setdefault(bucket, np.zeros((2, TERMS), np.int64))
-            own[0] += found
+            found = np.bincount(np.repeat(np.arange(TERMS), size)[: len(lists)], minlength=TERMS)
+            for t, bits in maps:
+                found[t] = np.bitwise_count(bits).sum()
             own[1] += found
             own[1][which] += more
+            if not split:
+                own[0] += found
+                continue
+            ids = [np.repeat(np.arange(TERMS), size) << 12 | lists, *(t << 12 | np.flatnonzero(np.unpackbits(bits)) for t, bits in maps)]
+            parts.setdefault((bucket, block), []).append(np.concatenate(ids).astype(np.int32))
+    for (bucket, _), ids in parts.items():
+        state[bucket][0] += np.bincount(np.unique(np.concatenate(ids)) >> 12, minlength=TERMS)
     for bucket in sorted(state):
         df, occ = state[bucket]
         t = np.flatnonzero(df)
@@ -135,9 +167,9 @@ def term_frequencies(records: DataFrame, k: int = 10, common_share: float = 0.02
 
     Vertical layout: for each group of neighbouring terms and each block of up to 4,096 records one
     row holds the set of records with each term, a list of 12-bit identifiers or a bitmap, whichever
-    is smaller, and beside it the counters of further occurrences. Blocks are merged by union, twice:
-    first spread over the parts of each group of terms, then one row for each term, so that neither a
-    frequent term nor a large collection meets in one task. Document frequency is the cardinality.
+    is smaller, and beside it the counters of further occurrences; very long texts spread their block over several
+    rows. The sets are merged by union, twice: first in partitions by group of terms, which Spark cuts to even sizes
+    however frequent a term is, then one row for each term. Document frequency is the cardinality of the union.
 
     Null and empty fields and letters other than ACGT give no words; a repeated name is one record;
     a record without words counts among all records. No records give no rows.
@@ -145,10 +177,9 @@ def term_frequencies(records: DataFrame, k: int = 10, common_share: float = 0.02
     if not 1 <= k <= 10:
         raise ValueError("k must be 1 to 10")
     base = distinct_records(records, *FIELDS)
-    blocks = base.mapInArrow(_layout(k), "bucket int, payload binary")
+    blocks = base.mapInArrow(_layout(k, BLOCK, HELD), "bucket int, payload binary")
     total = records.where("name is not null").select("name").distinct().count()
-    parts = 1 + total // (1000 * BLOCK)
-    merged = blocks.withColumn("part", F.pmod(F.xxhash64("payload"), F.lit(parts))).repartition("bucket", "part").mapInArrow(_read, "code long, n_occ long, n_records long")
+    merged = blocks.hint("rebalance", "bucket").mapInArrow(_read, "code long, n_occ long, n_records long")
     sums = merged.groupBy("code").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_records").alias("n_records"))
     digits = F.lpad(F.conv(F.col("code").cast("string"), 10, 4), k, "0")
     mark = F.when(F.col("n_records") == 1, "rare").when(F.col("n_records") > F.lit(total * common_share), "common").otherwise("usable")

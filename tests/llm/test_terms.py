@@ -18,9 +18,10 @@ def brute(rows, k, share):
 
 
 @pytest.mark.parametrize("k", [2, 6, 10])
-@pytest.mark.parametrize("block", [4096, 7])
-def test_against_brute_force(make_records, dna, monkeypatch, k, block):
+@pytest.mark.parametrize("block, held", [(4096, 1 << 23), (7, 1 << 23), (50, 60)])
+def test_against_brute_force(make_records, dna, monkeypatch, k, block, held):
     monkeypatch.setattr(terms, "BLOCK", block)
+    monkeypatch.setattr(terms, "HELD", held)
     rows = [(f"n{i}", dna(40) + "N" * (i % 3) + dna(5), dna(30).lower() if i % 4 else None, "") for i in range(60)]
     rows += [("p", "A" * 200, "", ""), ("p", "A" * 200, "", ""), (None, "ACGTACGTACGT", "", ""), ("short", "ACG", "N", "")]
     got = [tuple(r) for r in terms.term_frequencies(make_records(rows), k, 0.1).collect()]
