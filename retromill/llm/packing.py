@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,50 @@ def _bits(left: dict[int, int], spare: Counter) -> int:
     return sum(1 << n for n, c in left.items() if c > spare[n])
 
 
+class Sums:
+    """The pairs and triples of available lengths by their sum, each with its largest length first and those with the
+    largest first before others. A sum is indexed when it is first asked for; lengths only ever run out, so what
+    is no longer available is passed over once and for all."""
+
+    def __init__(self, left: dict[int, int]):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.open: dict[tuple[int, int], list] = {}
+
+    def pair(self, total: int) -> list[tuple[int, int]]:
+        if total not in self.pairs:
+            self.pairs[total] = [(a, total - a) for a in range(total - 1, (total - 1) // 2, -1) if a in self.left and total - a in self.left]
+        return self.pairs[total]
+
+    def combos(self, total: int, size: int) -> Iterator[tuple[int, ...]]:
+        if size == 1:
+            yield (total,)
+        elif size == 2:
+            yield from self.pair(total)
+        else:
+            for a in range(total - 2, (total - 1) // 3, -1):
+                if a in self.left:
+                    yield from ((a, b, c) for b, c in self.pair(total - a) if b <= a)
+
+    def fill(self, n: int, gap: int, size: int) -> tuple[int, ...] | None:
+        """The first combination of ``size`` lengths that fills ``gap`` exactly beside one of length ``n``. The
+        containers are equal, so a gap belongs to one ``n``."""
+        if (gap, size) not in self.open:
+            combos = self.combos(gap, size)
+            self.open[gap, size] = [combos, next(combos, None)]
+        state = self.open[gap, size]
+        while state[1] is not None:
+            need = Counter((n, *state[1]))
+            if all(self.left.get(x, 0) >= k for x, k in need.items()):
+                return state[1]
+            state[1] = next(state[0], None)
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """How to fill containers: (how many, lengths in each), from the number of items of each length.
 
-    The sums of single lengths, pairs and triples are indexed by length as bits of a number; the
+    Single lengths, pairs and triples are indexed by their sums (:class:`Sums`); the
     lengths, largest first, take combinations that fill their gap exactly, as often as all their
     lengths are available. What is left is put together by best fit. Lengths above half the capacity,
     of which each needs its own container, go through both before the others, or the small ones that
@@ -30,6 +71,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
     """
     left = {n: c for n, c in counts.items() if c > 0}
     steps: list[tuple[int, tuple[int, ...]]] = []
+    index = Sums(left)
 
     def use(combo: list[int]) -> None:
         need = Counter(combo)
@@ -40,27 +82,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
             if not left[n]:
                 del left[n]
 
-    def fill(gap: int, depth: int, combo: list[int]) -> list[int] | None:
-        """``depth`` more available lengths that sum to ``gap``, the largest first."""
-        spare = Counter(combo)
-        if depth == 1:
-            return [gap] if left.get(gap, 0) > spare[gap] else None
-        have = _bits(left, spare)
-        most = gap - depth + 1
-        first = have & ((1 << (most + 1)) - 1)
-        if depth == 2:  # both of a pair: the mirrored set has the complement of each length
-            mirrored = int(format(first, f"0{gap + 1}b")[::-1][: gap + 1], 2) if first else 0
-            first &= mirrored
-        while first:
-            a = first.bit_length() - 1
-            first ^= 1 << a
-            if a * depth < gap:
-                return None
-            rest = fill(gap - a, depth - 1, [*combo, a])
-            if rest:
-                return [a, *rest]
-        return None
-
     def best_fit(n: int) -> list[int]:
         combo, gap = [n], capacity - n
         while True:
@@ -74,7 +95,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ..
         for depth in (0, 1, 2, 3):
             for n in sorted((n for n in left if n > floor), reverse=True):
                 while n in left:
-                    rest = [] if depth == 0 else fill(capacity - n, depth, [n]) if capacity - n >= depth else None
+                    rest = [] if depth == 0 else index.fill(n, capacity - n, depth) if capacity - n >= depth else None
                     if rest is None or depth == 0 and n != capacity:
                         break
                     use([n, *rest])
