@@ -17,6 +17,9 @@ from retromill.llm.terms import term_frequencies
 from retromill.llm.tokens import count_tokens
 from retromill.shared import table
 
+#: the session setting that names the file of the vocabulary, and where it is if the session does not say
+VOCABULARY = ("spark.retromill.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -81,13 +84,17 @@ def p6_found(spark, d):
     return term_frequencies(table(spark, d, "ltr_records"))
 
 
+def _sizes(spark, d, *keep):
+    return count_tokens(table(spark, d, "documents"), *keep, vocabulary=spark.conf.get(*VOCABULARY))
+
+
 @query()
 def p7_containers(spark, d):
-    return pack(count_tokens(table(spark, d, "documents"), "doc_id"), "doc_id", "n_tokens")
+    return pack(_sizes(spark, d, "doc_id"), "doc_id", "n_tokens")
 
 
 def _mixture(spark, d):
-    return mix(count_tokens(table(spark, d, "documents"), "doc_id", "source"), "doc_id", table(spark, d, "mix_targets"))
+    return mix(_sizes(spark, d, "doc_id", "source"), "doc_id", table(spark, d, "mix_targets"))
 
 
 @query()

@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: ranks of a public byte-level vocabulary; the file must be at this place on every executor
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: how the vocabulary's makers split text before merging (fixed value)
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -25,9 +23,10 @@ def _encoding(path: str):
     return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(documents: DataFrame, *keep: str, vocabulary: str) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``, the tokens of the whole ``text``; null and empty texts
-    have 0. Texts are counted one by one inside the tasks."""
+    have 0. Texts are counted one by one inside the tasks. ``vocabulary`` has the ranks of a public byte-level
+    vocabulary and must be at this path on every executor."""
     rows = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text_to_count"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ import pytest
 pytest.importorskip("tiktoken")
 from retromill.llm.packing import pack, plan  # noqa: E402
 from retromill.llm.queries import QUERIES  # noqa: E402
-from retromill.llm.tokens import VOCABULARY, count_tokens  # noqa: E402
+from retromill.llm.queries import VOCABULARY  # noqa: E402
+from retromill.llm.tokens import count_tokens  # noqa: E402
 
 
 def check(rows, sizes, capacity):
@@ -56,7 +57,7 @@ def test_containers(spark):
 
 def test_the_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = [tuple(r) for r in count_tokens(docs, "doc_id").collect()]
+    sizes = [tuple(r) for r in count_tokens(docs, "doc_id", vocabulary=VOCABULARY[1]).collect()]
     rows = [tuple(r) for r in QUERIES["p7_containers"](spark, sf).select("doc_id", "piece", "n_tokens", "container_id").collect()]
     boxes = check(rows, sizes, 2048)
     assert boxes <= 1.02 * -(-sum(n for _, n in sizes) // 2048) + 1
@@ -65,8 +66,8 @@ def test_the_corpus(spark, sf):
 def test_tokens_are_those_of_the_whole_text(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
+    t = Tokenizer.from_file(VOCABULARY[1].replace(".tiktoken", ".json"))
     texts = ["", None, "def f(x):\n    return x + 1  # äöü €\n", "a" * 5000, "<|endoftext|> x", "\r\n\t 12345 'll 中文" * 20]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     t.encode_special_tokens = True
-    assert {r.doc_id: r.n_tokens for r in count_tokens(df, "doc_id").collect()} == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df, "doc_id", vocabulary=VOCABULARY[1]).collect()} == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
