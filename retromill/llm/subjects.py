@@ -129,9 +129,14 @@ def flat(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, terms.flatten().to_numpy(), times.flatten().to_numpy()
 
 
-def _sum(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """Sum what ``add`` adds for each batch into a (height, width) array: each task has one, of which
-    the rows that are not 0 are summed by Spark. Its size does not depend on the number of rows."""
+#: tasks for each core that sum arrays; their partial arrays grow with the cores, not with the rows
+TASKS = 4
+
+
+def _sums(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> DataFrame:
+    """``row``, ``v0``...: the sum of what ``add`` adds for each batch into a (height, width) array: each task has one,
+    of which the rows that are not 0 are summed by Spark. Tasks are as many as the cores can use, since each sends such
+    an array, and its size does not depend on the number of rows."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((height, width))
@@ -143,21 +148,31 @@ def _sum(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch
             own = some[i : i + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(total[own, j]) for j in range(width))], ["row", *(f"v{j}" for j in range(width))])
 
-    parts = rows.mapInArrow(over, "row int, " + ", ".join(f"v{j} double" for j in range(width)))
+    few = rows.coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(over, "row int, " + ", ".join(f"v{j} double" for j in range(width)))
+    return parts.groupBy("row").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(width)))
+
+
+def _sum(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """The sums as an array on the driver, for what is a part of the model."""
     out = np.zeros((height, width))
-    for r in parts.groupBy("row").agg(*(F.sum(f"v{j}") for j in range(width))).toLocalIterator():
-        out[r[0]] = r[1:]
+    t = _sums(rows, height, width, add).select("row", *(F.col(f"v{j}").cast("float").alias(f"v{j}") for j in range(width))).toArrow()
+    if t.num_rows:
+        out[t.column(0).to_numpy()] = np.column_stack([t.column(j + 1).to_numpy() for j in range(width)])
     return out
 
 
-def _weights(by_subject: np.ndarray, least: int, doubt: float) -> np.ndarray:
-    """Term weights from (documents with the term and subject, for each subject; documents with the
-    term): how far the term is kept to one subject, from 0 (in less than 45 % of its documents, of
+def _weights(rows: DataFrame, n: int, marks: Callable[[pa.RecordBatch], np.ndarray], least: int, doubt: float) -> np.ndarray:
+    """Term weights: how far a term is kept to one of ``n`` subjects, from 0 (in less than 45 % of its documents, of
     which there are ``doubt`` more in other subjects) to 1; terms of fewer than ``least`` documents
-    have none."""
-    total = by_subject[:, -1]
-    most = by_subject[:, :-1].max(axis=1) / np.maximum(total + doubt, 1)
-    return np.where(total >= least, np.clip((most - 0.45) / 0.45, 0, 1), 0)
+    have none. Counts stay in Spark, and only terms with a weight come to the driver."""
+    counts = _sums(rows, BUCKETS, n + 1, lambda t, total: _count_terms(t, marks(t), total))
+    most = F.greatest(F.lit(0.0), *(F.col(f"v{s}") for s in range(n))) / F.greatest(F.col(f"v{n}") + doubt, F.lit(1.0))
+    weight = F.least(F.lit(1.0), (most - 0.45) / 0.45)
+    found = counts.where(F.col(f"v{n}") >= least).select("row", weight.alias("weight")).where("weight > 0").toArrow()
+    out = np.zeros(BUCKETS)
+    out[found.column("row").to_numpy()] = found.column("weight").to_numpy()
+    return out
 
 
 def _count_terms(t: pa.RecordBatch, subjects: np.ndarray, total: np.ndarray) -> None:
@@ -279,9 +294,9 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     for k in range(rounds):
         if k:
             old = spark.sparkContext.broadcast(model)
-            weights = _weights(_sum(rows, BUCKETS, n + 1, lambda t, total: _count_terms(t, old.value.assign(t), total)), 2, 1.0)
+            weights = _weights(rows, n, lambda t: old.value.assign(t), 2, 1.0)
         else:
-            weights = _weights(_sum(seeds, BUCKETS, n + 1, lambda t, total: _count_terms(t, seeded(t), total)), 1, SEED_DOUBT)
+            weights = _weights(seeds, n, seeded, 1, SEED_DOUBT)
         before, model = model, Model(weights, DIMS)
         small = _weighted(rows, model, before)
         _decompose(small, model, passes)
