@@ -112,6 +112,12 @@ def canonical_codes(codes: np.ndarray, k: int, dtype=np.uint32) -> np.ndarray:
     return np.minimum(forward, flipped)
 
 
+def word_texts(words: np.ndarray, k: int) -> pa.Array:
+    """Words of ``k`` bases as strings, from their numbers."""
+    letters = np.frombuffer(b"ACGT", np.uint8)[words[:, None] >> (2 * np.arange(k - 1, -1, -1)) & 3]
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer((np.arange(len(words) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function, one to one."""
     x = x.astype(np.uint64)

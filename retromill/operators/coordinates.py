@@ -15,11 +15,12 @@ from retromill.shared import keep_partitions
 BIN = 1 << 16
 
 
-def number_rows(rows: DataFrame, *keys: str | Column, name: str = "ordinal") -> DataFrame:
+def number_rows(rows: DataFrame, *keys: str | Column, name: str = "ordinal", keep: list[str] | None = None) -> DataFrame:
     """Number all rows from 1 in the order of ``keys``, over all partitions: a range sort, the number
     of rows of each partition, and a prefix sum over these. Equal keys keep an arbitrary order, so
-    give keys that are unique."""
-    placed = keep_partitions(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    give keys that are unique. Only the columns ``keep``, if given, are written and come out."""
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = keep_partitions(placed.select(*(keep or rows.columns), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     joined = placed.join(F.broadcast(before), "_part")

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from retromill.functions.dna import canonical_codes, encode, pieces, valid_windows, word_codes
+from retromill.functions.dna import canonical_codes, encode, pieces, valid_windows, word_codes, word_texts
+from retromill.functions.groups import begins, numbers, whole_groups
 from retromill.shared import spread
 
 POSTING = "word int, id long, pos int, len int"
@@ -17,61 +19,163 @@ POSTING = "word int, id long, pos int, len int"
 LAST_POSITION = 65535
 
 
-def postings(rows: DataFrame, id_: str, seq: str, k: int = 12) -> DataFrame:
+def _words(batch: pa.RecordBatch, column: str, k: int, among: np.ndarray | None = None):
+    """The distinct words of each string of a column, in the order of (string, word): the string's index, the canonical
+    word, its smallest position, and the length of each string. Only words whose bit is set in ``among``."""
+    codes, offsets = encode(batch.column(column))
+    lens = np.diff(offsets)
+    found, cut = [], False
+    for part, off, of, begin in pieces(codes, offsets, k - 1):
+        ok = valid_windows(part, off, k)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        word = canonical_codes(part, k)[at].astype(np.int64)
+        s = np.searchsorted(off, at, "right") - 1
+        first = np.searchsorted(s, np.arange(len(of)))
+        n = np.diff(np.append(first, len(at)))[s]
+        p = np.arange(len(at)) - first[s]
+        pos = np.where(n > 1, (p * (np.minimum(lens[of[s]], off[s + 1] - off[s]) - k) + (n - 1) // 2) // np.maximum(n - 1, 1), 0) + begin[s]
+        if among is not None:
+            keep = (among[word >> 6] >> (word & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            word, s, pos = word[keep], s[keep], pos[keep]
+        _, keep = np.unique(s.astype(np.int64) << 24 | word, return_index=True)
+        cut |= bool(begin.any())
+        found.append((of[s[keep]], word[keep], pos[keep]))
+    if not found:
+        return (*(np.zeros(0, np.int64),) * 3, lens)
+    s, word, pos = (np.concatenate(x) for x in zip(*found))
+    if cut:  # a string in several pieces may have a word in each
+        _, keep = np.unique(s.astype(np.int64) << 24 | word, return_index=True)
+        s, word, pos = s[keep], word[keep], pos[keep]
+    return s, word, np.minimum(pos, LAST_POSITION), lens
+
+
+def canonical_words(rows: DataFrame, id_: str, seq: str, k: int = 12) -> DataFrame:
+    """``id_``, ``word``, ``pos``, ``n``: each distinct canonical word of each sequence with its smallest position and its
+    number. Nothing is shuffled; null and short sequences have none."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 500):
+            codes, offsets = encode(batch.column(seq))
+            at = np.flatnonzero(valid_windows(codes, offsets, k))
+            if not len(at):
+                continue
+            s = np.searchsorted(offsets, at, "right") - 1
+            key, first, n = np.unique(s.astype(np.int64) << 24 | canonical_codes(codes, k)[at], return_index=True, return_counts=True)
+            s = key >> 24
+            yield pa.RecordBatch.from_arrays([batch.column(id_).take(pa.array(s)), word_texts(key & ((1 << 24) - 1), k), pa.array(at[first] - offsets[s]), pa.array(n)], [id_, "word", "pos", "n"])
+
+    some = rows.select(id_, seq).where(F.length(seq) >= k)
+    return some.mapInArrow(over, StructType([some.schema[id_], *StructType.fromDDL("word string, pos long, n long").fields]))
+
+
+def _read(rows: DataFrame, id_: str, seq: str, k: int) -> DataFrame:
+    if not 4 <= k <= 12:
+        raise ValueError("k must be 4 to 12")
+    return rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq")).where("id is not null")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, n):
+            yield whole.slice(at, n)
+
+
+def postings(rows: DataFrame, id_: str, seq: str, k: int = 12, among: np.ndarray | None = None) -> DataFrame:
     """``word`` (the canonical word as a number), ``id``, ``pos`` (its smallest position), ``len``: one row
-    for each distinct word of each sequence. Positions are spread evenly over the words that a
+    for each distinct word of each sequence, of those in ``among`` (:func:`usable_words`) if it is given. Positions are
+    spread evenly over the words that a
     sequence has, so they are exact if all its letters are A, C, G or T. Null and short sequences
     have none."""
-    if not 4 <= k <= 12:
-        raise ValueError("k must be 4 to 12")
+    held = rows.sparkSession.sparkContext.broadcast(among)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            codes, offsets = encode(batch.column("seq"))
-            lens = np.diff(offsets)
-            for part, off, of, begin in pieces(codes, offsets, k - 1):
-                ok = valid_windows(part, off, k)
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                word = canonical_codes(part, k)[at].astype(np.int64)
-                s = np.searchsorted(off, at, "right") - 1
-                first = np.searchsorted(s, np.arange(len(of)))
-                n = np.diff(np.append(first, len(at)))[s]
-                p = np.arange(len(at)) - first[s]
-                length = lens[of[s]]
-                pos = np.where(n > 1, (p * (np.minimum(length, off[s + 1] - off[s]) - k) + (n - 1) // 2) // np.maximum(n - 1, 1), 0) + begin[s]
-                _, keep = np.unique(s.astype(np.int64) << 24 | word, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[keep].astype(np.int32)), pa.array(ids[of[s[keep]]]), pa.array(np.minimum(pos[keep], LAST_POSITION).astype(np.int32)), pa.array(length[keep].astype(np.int32))], ["word", "id", "pos", "len"]
-                )
-
-    found = rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq")).where("id is not null").mapInArrow(over, POSTING)
-    return found
-
-
-def bucket_sizes(post: DataFrame) -> DataFrame:
-    """``size``, ``n_words``: how many words so many sequences have."""
-    sizes = post.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_words"))
-
-
-def shared_words(post: DataFrame, max_bucket: int, max_ratio: float | None = None, elements: int | None = None) -> DataFrame:
+        for batch in _slices(batches, 2000):
+            ids = numbers(batch, "id")
+            s, word, pos, lens = _words(batch, "seq", k, held.value)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(ids[s]), pa.array(pos.astype(np.int32)), pa.array(lens[s].astype(np.int32))], ["word", "id", "pos", "len"])
+
+    return _read(rows, id_, seq, k).mapInArrow(over, POSTING)
+
+
+def word_counts(rows: DataFrame, id_: str, seq: str, k: int = 12) -> DataFrame:
+    """``word``, ``n``: how many sequences have each word. Tasks count before the shuffle, one number for each of the at
+    most 4^k words, so a word that all sequences have is no hot key."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**k, np.int32)
+        for batch in _slices(batches, 2000):
+            word, n = np.unique(_words(batch, "seq", k)[1], return_counts=True)
+            total[word] += n.astype(np.int32)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], ["word", "n"])
+
+    return _read(rows, id_, seq, k).mapInArrow(over, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def usable_words(counts: DataFrame, max_bucket: int, k: int = 12) -> np.ndarray:
+    """Bits of the words that 2 to ``max_bucket`` sequences have: 4^k bits, so 2 MB at most however many sequences
+    there are."""
+    some = counts.where(F.col("n").between(2, max_bucket)).groupBy(F.shiftright("word", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, word & 63))").alias("bits")).toArrow()
+    out = np.zeros(max(1, 4**k // 64), np.uint64)
+    out[some.column("at").to_numpy()] = some.column("bits").to_numpy().astype(np.uint64)
+    return out
+
+
+def bucket_sizes(counts: DataFrame) -> DataFrame:
+    """``size``, ``n_words``: how many words so many sequences have, from :func:`word_counts`."""
+    return counts.groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("n_words"))
+
+
+def shared_words(rows: DataFrame, id_: str, seq: str, max_bucket: int, max_ratio: float | None = None, elements: int | None = None, k: int = 12) -> DataFrame:
     """``i`` < ``j``, ``pi``, ``pj``, ``word``: each word that two sequences share. A word that more than
     ``max_bucket`` sequences have is no seed and is left out whole, which also bounds the pairs of a
-    word. With ``elements``, identifiers that are equal modulo it are one element and are not paired;
+    word. Words are counted first, and those of one sequence and of too many never leave the tasks that read the
+    sequences. With ``elements``, identifiers that are equal modulo it are one element and are not paired;
     ``max_ratio`` bounds the ratio of the lengths."""
-    post = spread(post, "word")
-    sizes = post.groupBy("word").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, max_bucket)).select("word")
-    p = post.join(sizes, "word")
+    among = usable_words(word_counts(rows, id_, seq, k), max_bucket, k)
+    return _meetings(postings(rows, id_, seq, k, among), max_ratio, elements).select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("pos_a").alias("pi"), F.col("pos_b").alias("pj"), "word")
+
+
+def _meetings(post: DataFrame, max_ratio: float | None, elements: int | None) -> DataFrame:
+    """Two postings of one word, the smaller identifier first."""
+    p = spread(post, "word")
     a, b = (p.select("word", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "pos", "len"))) for x in "ab")
     pairs = a.join(b, "word").where("id_a < id_b")
     if elements:
         pairs = pairs.where((F.col("id_a") % elements) != (F.col("id_b") % elements))
     if max_ratio:
         pairs = pairs.where(F.greatest("len_a", "len_b") <= F.least("len_a", "len_b") * F.lit(max_ratio))
-    return pairs.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("pos_a").alias("pi"), F.col("pos_b").alias("pj"), "word")
+    return pairs
+
+
+def pair_counts(rows: DataFrame, among: np.ndarray, max_ratio: float | None = None, elements: int | None = None, k: int = 12) -> DataFrame:
+    """``i`` < ``j``, ``n``: how many words of ``among`` two sequences of ``rows`` (``id``, ``seq``) share, under the
+    same conditions as :func:`shared_words`. Pairs are counted before they are shuffled."""
+    met = _meetings(postings(rows, "id", "seq", k, among), max_ratio, elements)
+    return met.groupBy(F.col("id_a").alias("i"), F.col("id_b").alias("j")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _anchor(begin: np.ndarray, pi: np.ndarray, pj: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For groups of shared words, which begin at ``begin``: their number, whether the strands are opposite, and the index
+    of the anchor."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(pi)))
+    g = np.repeat(np.arange(len(begin)), n)
+    si, sj = np.add.reduceat(pi, begin), np.add.reduceat(pj, begin)
+    u, v = pi - (si // n)[g], pj - (sj // n)[g]  # the same covariance in smaller numbers
+    rc = n * np.add.reduceat(u * v, begin) - np.add.reduceat(u, begin) * np.add.reduceat(v, begin) < 0
+    off = np.abs(n[g] * np.where(rc[g], pi + pj, pi - pj) - np.where(rc, si + sj, si - sj)[g])
+    near = np.flatnonzero(off == np.minimum.reduceat(off, begin)[g])
+    near = near[np.lexsort((word[near], pi[near], g[near]))]
+    return n, rc, near[begins(g[near])]
+
+
+ANCHOR = "n_shared long, is_rc boolean, pi int, pj int"
 
 
 def anchored_pairs(events: DataFrame, min_shared: int = 3) -> DataFrame:
@@ -81,16 +185,48 @@ def anchored_pairs(events: DataFrame, min_shared: int = 3) -> DataFrame:
     related (computed in integers; none is forward). The anchor is the shared word nearest to the
     mean diagonal (antidiagonal if opposite), on a tie the one with the smaller position in the
     first, then the smaller word. The words of one pair, fewer than the bases of its sequences, meet in
-    one row."""
-    long_ = lambda c: F.col(c).cast("long")
-    g = events.groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(long_("pi")).alias("si"), F.sum(long_("pj")).alias("sj"), F.sum(long_("pi") * long_("pj")).alias("sij"), F.collect_list(F.struct("pi", "pj", "word")).alias("events")
-    ).where(F.col("n") >= min_shared)
-    g = g.withColumn("is_rc", F.col("n") * F.col("sij") - F.col("si") * F.col("sj") < 0)
-    target = F.when(F.col("is_rc"), F.col("si") + F.col("sj")).otherwise(F.col("si") - F.col("sj"))
-    metric = lambda e: F.when(F.col("is_rc"), e["pi"] + e["pj"]).otherwise(e["pi"] - e["pj"])
-    near = F.array_min(F.transform("events", lambda e: F.struct(F.abs(F.col("n") * metric(e).cast("long") - target).alias("off"), e["pi"].alias("pi"), e["word"].alias("word"), e["pj"].alias("pj"))))
-    return g.withColumn("near", near).select("i", "j", F.col("n").alias("n_shared"), "is_rc", F.col("near.pi").alias("pi"), F.col("near.pj").alias("pj"))
+    one task, sorted by pair."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "i", "j"):
+            i, j, pi, pj, word = (numbers(t, c) for c in ("i", "j", "pi", "pj", "word"))
+            begin = begins(i, j)
+            n, rc, at = _anchor(begin, pi, pj, word)
+            k = n >= min_shared
+            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (i[begin], j[begin], n, rc, pi[at].astype(np.int32), pj[at].astype(np.int32))], ["i", "j", "n_shared", "is_rc", "pi", "pj"])
+
+    return spread(events, "i", "j").sortWithinPartitions("i", "j").mapInArrow(over, f"i long, j long, {ANCHOR}")
+
+
+def anchored(pairs: DataFrame, a: str, b: str, among: np.ndarray, min_shared: int = 3, k: int = 12) -> DataFrame:
+    """``pairs`` (``i``, ``j``) with ``n_shared``, ``is_rc``, ``pi``, ``pj`` as :func:`anchored_pairs` has them, for given pairs with both
+    sequences in columns ``a`` and ``b``: their words are compared directly, so no word is shuffled. Pairs that share
+    fewer words of ``among`` have no row."""
+    held = pairs.sparkSession.sparkContext.broadcast(among)
+
+    def side(t: pa.RecordBatch, id_: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each row's sequence with the row before them; a sequence of several rows is read once."""
+        _, first, which = np.unique(numbers(t, id_), return_index=True, return_inverse=True)
+        s, word, pos, lens = _words(t.select([column]).take(pa.array(first)), column, k, held.value)
+        begin = np.searchsorted(s, np.arange(len(lens) + 1))
+        size = np.diff(begin)[which]
+        at = np.repeat(begin[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(which)), size) << 24 | word[at], pos[at]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _slices(batches, 1000):
+            (x, px), (y, py) = side(t, "i", a), side(t, "j", b)
+            at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+            same = y[at] == x if len(y) else np.zeros(len(x), bool)
+            x, pi, pj = x[same], px[same], py[at[same]] if len(y) else px[same]
+            begin = begins(x >> 24)
+            n, rc, best = _anchor(begin, pi, pj, x & ((1 << 24) - 1))
+            keep = n >= min_shared
+            row, best = (x[begin] >> 24)[keep], best[keep]
+            own = [c.take(pa.array(row)) for c in t.columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n[keep]), pa.array(rc[keep]), pa.array(pi[best].astype(np.int32)), pa.array(pj[best].astype(np.int32))], [*t.schema.names, "n_shared", "is_rc", "pi", "pj"])
+
+    return pairs.mapInArrow(over, StructType([*pairs.schema.fields, *StructType.fromDDL(ANCHOR).fields]))
 
 
 def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10, inverted: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retromill.functions import dna
-from retromill.operators import stats
+from retromill.operators import seeds, stats
 from retromill.queries.registry import query
 from retromill.shared import table
 from retromill.sources.records import distinct_records
@@ -90,10 +90,7 @@ def min_len_gate(spark, d):
 select name, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as word, min(pos) as pos, count(*) as n from w where regexp_full_match(w, '[ACGT]{12}') group by 1, 2""")
 def canonical_words(spark, d):
     """Canonical 12-base words of each left repeat with their smallest position and number."""
-    at = F.explode(F.sequence(F.lit(1), F.length("ltr5") - 11))
-    w = records(spark, d, "ltr5").where("length(ltr5) >= 12").select("name", "ltr5", at.alias("i")).select("name", F.expr("substring(ltr5, i, 12)").alias("w"), (F.col("i") - 1).cast("long").alias("pos"))
-    w = w.where(F.col("w").rlike("^[ACGT]{12}$")).select("name", dna.canonical_word(F.col("w")).alias("word"), "pos")
-    return w.groupBy("name", "word").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    return seeds.canonical_words(records(spark, d, "ltr5"), "name", "ltr5")
 
 
 @query("""with {records} select genome, count(*) as n_records, cast(sum(length(ltr5)) as bigint) as ltr5_len, cast(sum(case when length(internal) >= 300 then 1 else 0 end) as bigint) as n_internal,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from retromill.functions.dna import reverse_complement
 from retromill.operators import alignment as al
-from retromill.operators import seeds
+from retromill.operators import graph, seeds
+from retromill.operators.consensus import star_consensus
 from retromill.queries.registry import query
 from retromill.queries.sequences import records
-from retromill.shared import materialize
+from retromill.shared import materialize, table
 
 ELEMENTS = """{records}, el as (select *, row_number() over (order by full_seq, name) - 1 as elem from r), n as (select count(*) as n from r),
 sides as (select elem as id, ltr5 as seq from el union all select elem + n, ltr3 from el, n)"""
@@ -71,21 +73,21 @@ def named(edges, e):
 def bucket_sizes(spark, d):
     """How many words are in so many repeats."""
     e, n = elements(spark, d)
-    return seeds.bucket_sizes(seeds.postings(al.ltr_sides(e, n), "id", "seq"))
+    return seeds.bucket_sizes(seeds.word_counts(al.ltr_sides(e, n), "id", "seq"))
 
 
 @query(f"with {ELEMENTS}, lefts as (select elem as id, ltr5 as seq from el), {postings_sql('post', 'lefts')}, {events_sql('ev', 'post', 50)} select i, j, cast(pi as int) as pi, cast(pj as int) as pj from ev")
 def seed_events(spark, d):
     """Every word that two left repeats share, with its positions."""
     e, _ = elements(spark, d)
-    return seeds.shared_words(seeds.postings(e, "elem", "ltr5"), 50, 1.25).drop("word")
+    return seeds.shared_words(e, "elem", "ltr5", 50, 1.25).drop("word")
 
 
 @query(f"with {LTR} select i, j, n_shared, is_rc, cast(pi as int) as pi, cast(pj as int) as pj from anc")
 def seed_anchors(spark, d):
     """Pairs of repeats with three shared words or more: strand and anchor."""
     e, n = elements(spark, d)
-    return al.ltr_seeds(e, n)
+    return al.ltr_seeds(e, n).drop("sa", "sb")
 
 
 @query(f"with {PASSED} select a.name as name_i, b.name as name_j, cast(ltr_ident as double) as ltr_ident from passed join el a on a.elem = i join el b on b.elem = j")
@@ -116,6 +118,66 @@ def similarity_edges(spark, d):
     return named(edges, e).select("name_i", "name_j", F.col("ltr_ident").cast("double").alias("ltr_ident"), F.col("int_ident").cast("double").alias("int_ident"))
 
 
+GRAPH = f"""{PASSED.replace('passed as (', 'all_passed as (')}, {FLANKS.replace('from passed', 'from all_passed')}, passed as (select i, j, ltr_ident from all_passed anti join match using (i, j)), {INNER[len(PASSED) + 2:]},
+pct as (select i, j, round_even((1 - cast(ltr_ident as double)) * 100, 1) as ltr_div_pct, round_even((1 - cast(int_ident as double)) * 100, 1) as int_div_pct from edges)"""
+FAMILY = f"""{GRAPH}, s as (select i as a, j as b from pct union select j, i from pct), reach(node, other) as (select a, b from s union select reach.node, s.b from reach join s on reach.other = s.a),
+comp as (select node, min(other) as component from reach group by node), big as (select component, row_number() over (order by component) as family from comp group by component having count(*) >= 3),
+fam as (select family, node from comp join big using (component))"""
+
+
+@query(f"with {GRAPH} select a.name as name_i, b.name as name_j, ltr_div_pct, int_div_pct from pct join el a on a.elem = i join el b on b.elem = j")
+def family_edges(spark, d):
+    """From records to the edges of the graph: repeats, flanks, internal parts, with divergences in percent."""
+    e, n = elements(spark, d)
+    return named(al.family_edges(e, n), e).select("name_i", "name_j", "ltr_div_pct", "int_div_pct")
+
+
+def element_families_of(spark, d):
+    e, n = elements(spark, d)
+    edges, _ = materialize(al.family_edges(e, n))
+    return e, edges, graph.families(edges, "i", "j")
+
+
+@query(f"with recursive {FAMILY} select family, name as member from fam join el on elem = node")
+def element_families(spark, d):
+    """From records to families: components of three elements or more, numbered by their first element."""
+    e, _, found = element_families_of(spark, d)
+    return found.join(e.select(F.col("elem").alias("member"), "name"), "member").select("family", F.col("name").alias("member"))
+
+
+@query()
+def element_consensi(spark, d):
+    """From records to consensi in one plan: edges, families, and a consensus of whole elements for each."""
+    e, edges, found = element_families_of(spark, d)
+    both = found.join(e.select(F.col("elem").alias("member"), F.col("full_seq").alias("seq")), "member")
+    both, _ = materialize(both)
+    known = both.where("seq <> ''").select("family", "member")
+    heads = graph.centroids(known, graph.degrees(edges, "i", "j"))
+    return star_consensus(both.join(heads.select("family", "centroid"), "family", "left"))
+
+
+#: elements of one consensus as copies at the insertion site of its first member, every second one on the other strand
+SITES = """held0 as (select distinct consensus, member from members where consensus is not null and member is not null),
+head as (select consensus, flank_l as hl, flank_r as hr from (select consensus, min(member) as first from held0 join r on r.name = member where length(flank_l) >= 50 and length(flank_r) >= 50 group by consensus) join r on r.name = first),
+moved as (select r.name, case when hl is null then flank_l when length(ltr5) % 2 = 0 then hl else reverse(translate(hr, 'ACGTacgt', 'TGCAtgca')) end as flank_l, case when hl is null then flank_r when length(ltr5) % 2 = 0 then hr else reverse(translate(hl, 'ACGTacgt', 'TGCAtgca')) end as flank_r
+from r left join (select member, any_value(hl) as hl, any_value(hr) as hr from held0 join head using (consensus) group by member) h on h.member = r.name)"""
+
+
+@query(f"with {PASSED}, {SITES}, {FLANKS.replace('from el where', 'from (select elem, moved.flank_l, moved.flank_r from el join moved using (name)) where')} select i, j from match")
+def site_copies(spark, d):
+    """Passing pairs at one insertion site, where the members of a consensus carry the flanks of its first member, as copies
+    of one site in several genomes do, every second one on the other strand."""
+    e, n = elements(spark, d)
+    held = table(spark, d, "members").where("consensus is not null and member is not null").select("consensus", F.col("member").alias("name")).distinct()
+    long_ = e.where("length(flank_l) >= 50 and length(flank_r) >= 50").select("name", "flank_l", "flank_r")
+    first = held.join(long_, "name").groupBy("consensus").agg(F.min(F.struct("name", F.col("flank_l").alias("hl"), F.col("flank_r").alias("hr"))).alias("x")).select("consensus", "x.hl", "x.hr")
+    moved = held.join(first, "consensus").groupBy("name").agg(F.any_value("hl").alias("hl"), F.any_value("hr").alias("hr"))
+    even = F.length("ltr5") % 2 == 0
+    place = lambda own, same, other: F.when(F.col("hl").isNull(), F.col(own)).when(even, F.col(same)).otherwise(reverse_complement(F.col(other))).alias(own)
+    placed = e.join(moved, "name", "left").select("elem", place("flank_l", "hl", "hr"), place("flank_r", "hr", "hl"))
+    return al.flank_matches(passed_pairs(e, n), placed)
+
+
 @query("""with {records}, w as (select name, full_seq as s, unnest(range(1, length(full_seq) - 10)) as i from r where length(full_seq) >= 12),
 x as (select name, i - 1 as loc, substr(s, i, 12) as w from w), y as (select *, lead(loc) over (partition by name, w order by loc) - loc as far from x where regexp_full_match(w, '[ACGT]{12}'))
 select name, far // 64 as diagonal, count(*) as n_words, min(loc) as first_pos, max(loc) as last_pos from y where far between 200 and 30000 group by 1, 2 having count(*) >= 10""")
