@@ -58,8 +58,8 @@ def reuse_edges(spark, d):
     return graph.reused_edges(links(spark, d), "a", "b", records(spark, d, "round").where("round = 1"))
 
 
-COLUMNS = """{records}, {held}, c0 as (select family, substr(ltr5, 1, 60) as s from held join r on r.name = member where length(ltr5) >= 60), nn as (select family, count(*) as n from c0 group by family),
-c1 as (select family, s, unnest(range(1, 61)) as i from c0), cc as (select family, i - 1 as col, sum(case when substr(s, i, 1) = 'A' then 1 else 0 end) as a, sum(case when substr(s, i, 1) = 'C' then 1 else 0 end) as c,
+COLUMNS = """{records}, {held}, c0 as (select family, ltr5 as s from held join r on r.name = member where ltr5 <> ''), nn as (select family, count(*) as n from c0 group by family),
+c1 as (select family, s, unnest(range(1, length(s) + 1)) as i from c0), cc as (select family, i - 1 as col, sum(case when substr(s, i, 1) = 'A' then 1 else 0 end) as a, sum(case when substr(s, i, 1) = 'C' then 1 else 0 end) as c,
 sum(case when substr(s, i, 1) = 'G' then 1 else 0 end) as g, sum(case when substr(s, i, 1) = 'T' then 1 else 0 end) as t from c1 group by 1, 2),
 cl as (select *, a + c + g + t as tot, (case when a / (a + c + g + t) >= 0.4 then 'A' else '' end) || (case when c / (a + c + g + t) >= 0.4 then 'C' else '' end) || (case when g / (a + c + g + t) >= 0.4 then 'G' else '' end) || (case when t / (a + c + g + t) >= 0.4 then 'T' else '' end) as k from cc),
 cb as (select family, col, case when tot = 0 then '-' when k = '' then 'N' else {'A': 'A', 'C': 'C', 'G': 'G', 'T': 'T', 'AG': 'R', 'CT': 'Y', 'CG': 'S', 'AT': 'W', 'GT': 'K', 'AC': 'M'}[k] end as base, greatest(a, c, g, t) / n as cons, tot / n as sat, n from cl join nn using (family)),
@@ -71,13 +71,16 @@ bound as (select *, strpos(bits, run) - 1 as first, length(bits) - strpos(revers
 
 
 def _window(spark, d):
-    rows = held(spark, d).join(records(spark, d, "ltr5").where("length(ltr5) >= 60"), F.col("member") == F.col("name")).select("family", F.substring("ltr5", 1, 60).alias("row"))
+    """The whole left repeats of the members of each consensus, base by base as they are written, none left out: what SQL
+    can say of columns. The members in aligned columns are the ``aligned_`` queries."""
+    rows = held(spark, d).join(records(spark, d, "ltr5").where("ltr5 <> ''"), F.col("member") == F.col("name")).select("family", F.col("ltr5").alias("row"))
+    rows, _ = materialize(rows)
     return cs.column_counts(rows, "family", "row"), rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {COLUMNS} select family, n, consensus from cons")
 def majority_consensus(spark, d):
-    """Majority letters of the first 60 bases of the members of each consensus."""
+    """Majority letters at each place of the left repeats of the members of each consensus."""
     counts, n = _window(spark, d)
     return cs.majority(counts, n).join(n, "family").select("family", "n", "consensus")
 
