@@ -27,12 +27,16 @@ def number_rows(rows: DataFrame, *keys: str | Column, name: str = "ordinal", kee
     return joined.withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + 1).drop("_part", "_row", "_first", "_before")
 
 
-def running_sum(rows: DataFrame, key: str, order: str, value: str, name: str, width: int = BIN) -> DataFrame:
+def running_sum(rows: DataFrame, key: str, order: str, value: str, name: str, width: int = BIN, fan: int | None = None) -> DataFrame:
     """The sum of ``value`` over the rows of the same ``key`` with a smaller ``order`` (a number, unique
-    within the key). Sums by bins of ``order`` are cumulated first, so no task gets all rows of a key."""
+    within the key). Sums by bins of ``order`` are cumulated first, so no task gets all rows of a key; with ``fan`` these
+    in turn by bins of so many of them, for keys of very many bins."""
     binned = rows.withColumn("_bin", F.floor(F.col(order) / width).cast("long"))
     sums = binned.groupBy(key, "_bin").agg(F.sum(value).alias("_sum"))
-    base = sums.select(key, "_bin", (F.sum("_sum").over(Window.partitionBy(key).orderBy("_bin")) - F.col("_sum")).alias("_base"))
+    if fan:
+        base = running_sum(sums.withColumnRenamed("_bin", "_at"), key, "_at", "_sum", "_so_far", fan).select(key, F.col("_at").alias("_bin"), F.col("_so_far").alias("_base"))
+    else:
+        base = sums.select(key, "_bin", (F.sum("_sum").over(Window.partitionBy(key).orderBy("_bin")) - F.col("_sum")).alias("_base"))
     inside = F.sum(value).over(Window.partitionBy(key, "_bin").orderBy(order)) - F.col(value)
     return binned.withColumn("_inside", inside).join(base, [key, "_bin"]).withColumn(name, F.col("_inside") + F.col("_base")).drop("_bin", "_inside", "_base")
 
@@ -70,6 +74,22 @@ def element_header(e: DataFrame) -> DataFrame:
     return e.select("name", text.alias("header"))
 
 
+def extract_sequences(wanted: DataFrame, pieces: DataFrame, width: int = BIN) -> DataFrame:
+    """``name``, ``seq``: the bases from ``s`` to ``e`` of each row of ``wanted`` (``name``, ``entity``, ``s``, ``e``), cut out
+    of sequences that lie in ``pieces`` (``entity``, ``start``, ``seq``) of any size, such as a chromosome's. Both are
+    entered in the bins they touch, so a long sequence is many tasks; only the parts of one stretch meet in one row.
+    Stretches are cut at the ends of what is there; of those that lie beyond it, empty or with nulls ``seq`` is ''."""
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    p = pieces.where("length(seq) > 0 and start is not null").select(F.col("entity").alias("_entity"), F.col("start").cast("long").alias("_a"), (F.col("start") + F.length("seq")).alias("_b"), "seq")
+    p = p.withColumn("_bin", bins(F.col("_a"), F.col("_b")))
+    w = wanted.where("s < e").select("name", "entity", "s", "e").withColumn("_wbin", bins(F.col("s"), F.col("e")))
+    lo, hi = F.greatest("s", "_a"), F.least("e", "_b")
+    hit = w.join(p, (F.col("entity") == F.col("_entity")) & (F.col("_wbin") == F.col("_bin")) & (lo < hi) & (F.floor(lo / width) == F.col("_bin")))
+    part = F.struct(lo.alias("at"), F.substring("seq", (lo - F.col("_a") + 1).cast("int"), (hi - lo).cast("int")).alias("x"))
+    whole = hit.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["x"]), "").alias("seq"))
+    return wanted.select("name").distinct().join(whole, "name", "left").select("name", F.coalesce("seq", F.lit("")).alias("seq"))
+
+
 def scan_windows(events: DataFrame, lengths: DataFrame, flank: int = 32768) -> DataFrame:
     """``entity``, ``win_start``, ``win_end``: events widened by ``flank`` to both sides within their
     sequence, overlapping ones as one. Sequences of null length have no windows."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retromill.operators.classes import is_ltr
 from retromill.operators.coordinates import lift_through, overlapping
 from retromill.operators.graph import families
 from retromill.operators.periods import merge_events, periods_and_gaps
@@ -28,6 +29,25 @@ def reconcile(new: DataFrame, old: DataFrame) -> DataFrame:
     return a.alias("a").join(b.alias("b"), same, "left").select("a.id", "b.reused")
 
 
+def reconcile_nodes(new: DataFrame, old: DataFrame, removed: DataFrame) -> DataFrame:
+    """``id``, ``reused``: each detection of ``new`` (``id``, ``entity``, ``start``, ``end``, ``seq``, footprint ``fs`` to
+    ``fe``) with the node of ``old`` at the same place and with the same sequence that it takes over, or null. One whose
+    footprint overlaps what was ``removed`` (``entity``, ``orig_start``, ``orig_end``) is new in any case. Sequences are
+    compared by their digests; a null one is empty."""
+    key = F.struct("entity", "start", "end", F.sha2(F.coalesce("seq", F.lit("")), 256).alias("seq")).alias("key")
+    hit = overlapping(new.select("id", "entity", "fs", "fe"), removed, "entity", "fs", "fe", "orig_start", "orig_end").select("id")
+    same = reconcile(new.join(hit, "id", "left_anti").select(key, "id"), old.select(key, "id"))
+    return same.unionByName(hit.select("id", F.lit(None).cast(same.schema["reused"].dataType).alias("reused")))
+
+
+def to_collapse(members: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
+    """``member``, ``entity``, ``orig_start``, ``orig_end``: what a round takes out: its own detections (``places``, with
+    ``member``, ``entity``, ``start``, ``end``) that are members of a family classified as LTR."""
+    ltr = classes.where(is_ltr(F.col("class"))).select("consensus").distinct()
+    some = members.select("consensus", "member").distinct().join(ltr, "consensus", "left_semi").select("member").distinct()
+    return places.join(some, "member", "left_semi").select("member", "entity", F.col("start").alias("orig_start"), F.col("end").alias("orig_end"))
+
+
 def round_stats(placed: DataFrame, scaffolds: DataFrame) -> DataFrame:
     """``round``, ``n_elements``, ``covered``, ``permyriad`` (of all scaffolds) from ``round``, ``entity``
     (round and scaffold in one number), ``r1s``, ``r2e``."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from retromill.operators import coordinates as co
 from retromill.operators.periods import merge_events
 from retromill.queries.registry import query
-from retromill.shared import table
+from retromill.queries.sequences import records
+from retromill.shared import materialize, table
 
 #: one row for each alignment, by the number of its detection round
 ALIGNS = """a as (select * from (select aln_id, scaffold_idx, r1s, r1e, r2s, r2e, round, row_number() over (partition by aln_id order by loaded_at desc) as copy from ltr_aligns where aln_id is not null) where copy = 1),
@@ -168,3 +169,67 @@ def resolved_scaffolds(spark, d):
     s = table(spark, d, "scaffolds")
     name = F.when(F.col("seq_index") % 3 == 0, F.concat("name", F.lit(" "), F.coalesce("descr", F.lit("")))).when(F.col("seq_index") % 3 == 1, F.col("name")).otherwise(F.concat("name", F.lit(" gone")))
     return co.resolve_scaffolds(s.select(name.alias("scaffold")), s)
+
+
+@query("""with {records}, g as (select *, sum(length(full_seq)) over (partition by genome order by name) - length(full_seq) as loc from r where genome is not null),
+w as (select genome, string_agg(full_seq, '' order by name) as s from g group by genome),
+p as (select name, genome, greatest(loc + length(flank_l) - 100, 0) as a, loc + length(full_seq) - length(flank_r) + 100 as b from g)
+select name, case when a < b then substr(s, cast(a as bigint) + 1, cast(b - a as bigint)) else '' end as seq from p join w using (genome)""")
+def extracted_sequences(spark, d):
+    """Elements cut out of the sequences of their genomes, the records of a genome end to end, with up to 100 bases to
+    each side. A genome lies in pieces, which the stretches cross."""
+    r = records(spark, d, "full_seq", "flank_l", "flank_r", plain=("genome",)).where("genome is not null")
+    r, _ = materialize(co.number_rows(r, "genome", "name", name="ord"))
+    on = co.running_sum(r.withColumn("len", F.length("full_seq").cast("long")), "genome", "ord", "len", "at", 1000)
+    wanted = on.select("name", F.col("genome").alias("entity"), F.greatest(F.col("at") + F.length("flank_l") - 100, F.lit(0)).alias("s"), (F.col("at") + F.col("len") - F.length("flank_r") + 100).alias("e"))
+    return co.extract_sequences(wanted, on.select(F.col("genome").alias("entity"), F.col("at").alias("start"), F.col("full_seq").alias("seq")))
+
+
+#: the words of 12 bases at which hits touch their partners, forward ones and others, as events on the partners' sequences
+TOUCHED = """el as (select *, row_number() over (order by full_seq, name) - 1 as elem from r),
+t1 as (select distinct elem as entity, pj as s, pj + 12 as e from seed_hits join el on name_of = el.name where not is_rc and pj is not null),
+t2 as (select distinct elem as entity, pj as s, pj + 12 as e from seed_hits join el on name_of = el.name where is_rc and pj is not null)""".replace("name_of", "partner")
+
+
+def cut_sql(name: str, seqs: str, events: str) -> str:
+    return f"""{name}b as (select *, max(e) over (partition by entity order by s, e rows between unbounded preceding and 1 preceding) as before from {events}),
+{name}g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by entity order by s, e rows unbounded preceding) as island from {name}b),
+{name}m as (select entity, min(s) as a, max(e) as z from {name}g group by entity, island),
+{name}c as (select entity, a, least(z, length(seq)) as z, seq from {name}m join {seqs} using (entity) where a < length(seq) union all select entity, length(seq), length(seq), seq from {seqs}),
+{name}k as (select entity, seq, coalesce(lag(z) over (partition by entity order by a, z), 0) as f, a from {name}c),
+{name} as (select entity, string_agg(substr(seq, f + 1, a - f), '' order by f, a) as seq from {name}k group by entity)"""
+
+
+SEQS = "s0 as (select elem as entity, full_seq as seq from el)"
+
+
+def touched(spark, d):
+    from retromill.queries.similarity import elements as numbered
+
+    e, _ = numbered(spark, d)
+    h = table(spark, d, "seed_hits").where("pj is not null").join(e.select(F.col("name").alias("partner"), F.col("elem").alias("entity")), "partner")
+    events = lambda c: h.where(c).select("entity", F.col("pj").cast("long").alias("orig_start"), (F.col("pj") + 12).cast("long").alias("orig_end"), F.lit(0).cast("long").alias("unit_len")).distinct()
+    merged = lambda c: materialize(merge_events(events(c), "entity", "orig_start", "orig_end", "unit_len"))[0]
+    return e.select(F.col("elem").alias("entity"), F.col("full_seq").alias("seq")), merged("not is_rc"), merged("is_rc")
+
+
+@query(f"with {{records}}, {TOUCHED}, {SEQS}, {cut_sql('c1', 's0', 't1')} select entity, seq from c1")
+def collapsed_sequences(spark, d):
+    """Elements without the words at which forward hits touch them."""
+    seqs, first, _ = touched(spark, d)
+    return co.collapse_sequences(seqs, first)
+
+
+@query(f"with {{records}}, {TOUCHED}, {SEQS} select entity, seq from s0")
+def reconstructed_sequences(spark, d):
+    """The same put together again from what is left and what was taken out."""
+    seqs, first, _ = touched(spark, d)
+    collapsed, _ = materialize(co.collapse_sequences(seqs, first))
+    return co.reconstruct(collapsed, co.removed_pieces(seqs, first))
+
+
+@query(f"with {{records}}, {TOUCHED}, {SEQS}, {cut_sql('c1', 's0', 't1')}, {cut_sql('c2', 'c1', 't2')} select entity, seq from c2")
+def chained_maps(spark, d):
+    """Elements collapsed by one map that does what two maps do one after the other."""
+    seqs, first, second = touched(spark, d)
+    return co.collapse_sequences(seqs, co.chain(first, second))

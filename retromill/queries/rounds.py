@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from retromill.operators import coordinates as co
 from retromill.operators.periods import periods_and_gaps
+from retromill.queries.classes import CLASSED, consensus_class
 from retromill.queries.intervals import ALIGNS, ELEMENTS, alignments, elements
 from retromill.queries.registry import query
 from retromill.queries.sequences import records
-from retromill.plans.rounds import reconcile, round_bed, round_stats
-from retromill.shared import table
+from retromill.operators.periods import merge_events
+from retromill.plans.rounds import reconcile, reconcile_nodes, round_bed, round_stats, to_collapse
+from retromill.shared import materialize, table
 
 
 @query(f"with {ELEMENTS} select seq_index, r1s as start, r2e as \"end\", name from e")
@@ -71,3 +73,37 @@ def line_counts(spark, d):
     """Number, total and longest of the alignment lines of each scaffold, as a file header has them."""
     a = alignments(spark, d).where("round is not null").withColumn("len", F.col("r2e") - F.col("r1s"))
     return a.groupBy(F.col("scaffold_idx").cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"), F.max("len").alias("longest")).select(F.lit("A").alias("line"), "grp", "n", "total", "longest")
+
+
+#: detections as members of consensi in turn, by their number, and the class of each consensus by the votes of hits
+NUMBERED = f"""{CLASSED}, names as (select name, row_number() over (order by name) - 1 as k from (select distinct name from consensi where name is not null)),
+ltr as (select k from names join cc on family = name where regexp_matches(regexp_replace(trim(cls), '[?]+$', ''), '(?i)^LTR(/|$)'))"""
+TAKEN = f"{ALIGNS}, {NUMBERED}, taken as (select aln_id, cast(scaffold_idx as bigint) as entity, r1s as orig_start, r2e as orig_end from x where round = 1 and aln_id % (select count(*) from names) in (select k from ltr))"
+
+
+def taken(spark, d):
+    names = co.number_rows(table(spark, d, "consensi").where("name is not null").select("name").distinct(), "name", name="k").withColumn("k", F.col("k") - 1)
+    names, facts = materialize(names, F.count(F.lit(1)).alias("n"))
+    first = alignments(spark, d).where("round = 1").select(F.col("aln_id").alias("member"), F.col("scaffold_idx").cast("long").alias("entity"), F.col("r1s").alias("start"), F.col("r2e").alias("end"))
+    members = first.select("member", (F.col("member") % max(1, facts["n"])).alias("k")).join(names, "k").select(F.col("name").alias("consensus"), "member")
+    return to_collapse(members, consensus_class(spark, d), first)
+
+
+@query(f"with {TAKEN} select * from taken")
+def intervals_to_collapse(spark, d):
+    """What the first round takes out: its detections in families that are classified as LTR."""
+    return taken(spark, d).withColumnRenamed("member", "aln_id")
+
+
+@query(f"""with {TAKEN}, q as (select x.*, coalesce(upper(s.seq), '') as seq from x left join (select k, min(upper(seq)) as seq from names join consensi using (name) group by k) s on s.k = x.aln_id % 4),
+h as (select distinct x.aln_id from x join taken t on t.entity = x.scaffold_idx and greatest(x.r1s - 100, 0) < t.orig_end and t.orig_start < x.r2e + 100 where round > 1),
+o as (select *, row_number() over (partition by scaffold_idx, r1s, r2e, seq order by aln_id) as n from q where round = 1), w as (select *, row_number() over (partition by scaffold_idx, r1s, r2e, seq order by aln_id) as n from q where round > 1 and aln_id not in (select aln_id from h))
+select w.aln_id, o.aln_id as reused from w left join o on w.scaffold_idx = o.scaffold_idx and w.r1s = o.r1s and w.r2e = o.r2e and w.seq = o.seq and w.n = o.n union all select aln_id, null from h""")
+def reused_nodes(spark, d):
+    """Later detections and the nodes of the first round that they take over: same place, same sequence (that of one of
+    four consensi, by number), and not beside anything that was taken out."""
+    c = co.number_rows(table(spark, d, "consensi").where("name is not null").select("name").distinct(), "name", name="k")
+    seqs = table(spark, d, "consensi").join(c, "name").where("k <= 4").groupBy((F.col("k") - 1).alias("k")).agg(F.min(F.upper("seq")).alias("seq"))
+    a = alignments(spark, d).withColumn("k", F.col("aln_id") % 4).join(F.broadcast(seqs), "k", "left")
+    a, _ = materialize(a.select(F.col("aln_id").alias("id"), "round", F.col("scaffold_idx").cast("long").alias("entity"), F.col("r1s").alias("start"), F.col("r2e").alias("end"), "seq", F.greatest(F.col("r1s") - 100, F.lit(0)).alias("fs"), (F.col("r2e") + 100).alias("fe")))
+    return reconcile_nodes(a.where("round > 1"), a.where("round = 1"), taken(spark, d)).withColumnRenamed("id", "aln_id")

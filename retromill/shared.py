@@ -23,12 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: folders that this process has written for each application and not yet deleted
+_WRITTEN: dict[str, set[str]] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder for a table or file of an operator, deleted by :func:`release`."""
+    path = f"{shared_dir(spark)}/retromill-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that operators have written for this application, and say how many. Results that have not been
+    written yet read them, so call it when the results are."""
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, set())
+    for path in written:
+        discard(spark, path)
+    return len(written)
+
+
 def materialize(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     """Write ``df`` as Parquet into the shared folder and read it back, so that a lost executor
     costs no recomputation of what came before. ``metrics`` are aggregate columns that are
     gathered while the rows are written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/retromill-{uuid.uuid4().hex}"
+    path = scratch(spark)
     observed = None
     if metrics:
         from pyspark.sql import Observation
@@ -43,6 +63,7 @@ def materialize(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`materialize` wrote and nothing reads any more."""
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

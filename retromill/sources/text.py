@@ -1,6 +1,7 @@
 """Readers and writers of the pipeline's text files. All are splittable: a large file is read by many
 tasks, and the order of its records is kept as a column where it means something."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from retromill.operators.classes import class_label
 from retromill.operators.coordinates import number_rows, running_sum
+from retromill.shared import materialize
 
 
 def _placed(lines: DataFrame) -> DataFrame:
@@ -66,6 +68,15 @@ def write_bed(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("sep", "\t").csv(path)
 
 
+def write_membership(rows: DataFrame, path: str, most: int = 1000) -> None:
+    """Lines of ``consensus`` and its members with commas between, about ``most`` members in a line: a consensus with more
+    has several lines, so that no task holds all members of one."""
+    n = rows.groupBy("consensus").agg(F.count(F.lit(1)).alias("_n"))
+    parts = rows.join(n, "consensus").groupBy("consensus", F.expr(f"pmod(xxhash64(member), ceil(_n / {most}D))").alias("_part"))
+    lines = parts.agg(F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"))
+    lines.select(F.concat_ws("\t", "consensus", "members").alias("value")).write.text(path)
+
+
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
     """``consensus``, ``member``: one row for each member of a line; the heading and short lines are skipped."""
     lines = spark.read.text(path).where("not startswith(value, 'consensus\t')").withColumn("f", F.split(F.trim("value"), "\t")).where(F.size("f") >= 2)
@@ -101,9 +112,10 @@ def alignments_from_lines(lines: DataFrame) -> DataFrame:
     number = lambda i: F.try_element_at("fields", F.lit(i)).try_cast("long")
     one = lines.withColumn("all", F.lit(0)).withColumn("is_s", (F.col("kind") == "S").cast("long")).withColumn("is_c", (F.col("kind") == "C").cast("long")).withColumn("is_a", (F.col("kind") == "A").cast("long"))
     for c, name in (("is_s", "s"), ("is_c", "contig"), ("is_a", "a")):
-        one = running_sum(one, "all", "ord", c, name, 10_000)
+        one = running_sum(one, "all", "ord", c, name, 10_000, 10_000)
     length = F.when(F.col("kind").isin("C", "G"), number(1)).otherwise(0)
     one = running_sum(one.withColumn("len", length), "s", "ord", "len", "offset", 10_000)
+    one, _ = materialize(one.select("kind", "fields", "s", "contig", "a", "offset"))
     contigs = one.where("kind = 'C'").select("contig", (F.col("s") - 1).alias("scaffold_idx"), "offset")
     closed = one.where("kind = 'U'").select(F.col("a").alias("k")).distinct()
     al = one.where("kind = 'A'").select((F.col("a") + 1).alias("k"), number(1).alias("contig"), *(number(i).alias(c) for i, c in ((2, "a_s"), (3, "a_e"), (5, "b_s"), (6, "b_e"))))
@@ -126,5 +138,7 @@ def has_columns(df: DataFrame, needed: StructType) -> bool:
 
 @F.pandas_udf(DoubleType())
 def percent(ident: pd.Series) -> pd.Series:
-    """Divergence in percent with one digit, rounded as Python does, which no built-in function matches."""
-    return ident.map(lambda v: None if v is None or v != v else round((1.0 - v) * 100.0, 1))
+    """Divergence in percent with one digit, rounded as Python does, on the exact value, which no built-in function does.
+    A null or NaN gives null."""
+    x = (1.0 - ident.to_numpy(np.float64, na_value=np.nan)) * 100.0
+    return pd.Series(np.char.mod("%.1f", x).astype(np.float64)).where(~np.isnan(x))
