@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retromill.operators.coordinates import number_rows
@@ -99,7 +99,8 @@ def subfamilies(edges: DataFrame, a: str, b: str, distance: str, family: DataFra
 
     near = components(edges.where(F.col(distance) <= cut), a, b).withColumnRenamed("node", "member").join(family, "member")
     heads = near.select("family", "component").distinct()
-    w = Window.partitionBy("family")
-    ranked = heads.select("family", "component", (F.row_number().over(w.orderBy("component")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    placed = number_rows(heads, "family", "component", name="at")  # no task gets all groups of a family
+    first = placed.groupBy("family").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    ranked = placed.join(first, "family").select("family", "component", (F.col("at") - F.col("first")).alias("i"), "n")
     tagged = ranked.select("component", F.when(F.col("n") > 1, subfamily_tag(F.col("i"))).otherwise("").alias("tag"))
     return near.join(tagged, "component").select("family", "tag", "member")

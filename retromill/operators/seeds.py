@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -229,35 +229,56 @@ def anchored(pairs: DataFrame, a: str, b: str, among: np.ndarray, min_shared: in
     return pairs.mapInArrow(over, StructType([*pairs.schema.fields, *StructType.fromDDL(ANCHOR).fields]))
 
 
+#: sequences of up to so many bases are searched within one task
+WHOLE = 1 << 22
+
+
 def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10, inverted: bool = False) -> DataFrame:
     """Two similar copies on one sequence, as of an element's two long repeats: ``id``, ``diagonal``
     (the distance of the copies, in bins of ``width``), ``n_words``, ``first_pos``, ``last_pos`` (of the
     first copy) for bins with at least ``hits`` words that recur at a distance of ``least`` to ``most``.
     With ``inverted`` the second copy is read on the other strand, and ``diagonal`` is the sum of both
     positions. A word is paired with its next occurrence on the sequence only, so repeats of many units
-    give rows in proportion to the sequence. With a small ``least`` it shows tandem arrays."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            codes, offsets = encode(batch.column("seq"))
-            at = np.flatnonzero(valid_windows(codes, offsets, k))
-            if not len(at):
-                continue
-            s = np.searchsorted(offsets, at, "right") - 1
-            forward = word_codes(codes, k)[at].astype(np.int64)
-            word = canonical_codes(codes, k)[at].astype(np.int64) if inverted else forward
-            key = s.astype(np.int64) << 24 | word
-            order = np.argsort(key, kind="stable")
-            a, b = order[:-1], order[1:]
-            far = at[b] - at[a]
-            hit = (key[a] == key[b]) & (far >= least) & (far <= most)
-            if inverted:
-                hit &= (forward == word)[a] != (forward == word)[b]
-            a, b = a[hit], b[hit]
-            first, second = at[a] - offsets[s[a]], at[b] - offsets[s[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s[a]]), pa.array((second + first if inverted else second - first) // width), pa.array(first)], ["id", "diagonal", "pos"])
-
-    found = rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq")).mapInArrow(over, "id long, diagonal long, pos long")
+    give rows in proportion to the sequence. With a small ``least`` it shows tandem arrays. The words of a sequence longer
+    than ``WHOLE``, such as a chromosome, are met by a shuffle, those of others in the task that reads them."""
+
+    def paired(s: np.ndarray, word: np.ndarray, at: np.ndarray, forward: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(s.astype(np.int64) << 24 | word, kind="stable")
+        a, b = order[:-1], order[1:]
+        far = at[b] - at[a]
+        hit = (s[a] == s[b]) & (word[a] == word[b]) & (far >= least) & (far <= most)
+        if inverted:
+            hit &= forward[a] != forward[b]
+        return a[hit], b[hit]
+
+    def read(batch: pa.RecordBatch):
+        codes, offsets = encode(batch.column("seq"))
+        for part, off, of, begin in pieces(codes, offsets, k - 1, WHOLE):
+            at = np.flatnonzero(valid_windows(part, off, k))
+            if len(at):
+                s = np.searchsorted(off, at, "right") - 1
+                plain = word_codes(part, k)[at].astype(np.int64)
+                word = canonical_codes(part, k)[at].astype(np.int64) if inverted else plain
+                yield of[s], word, at - off[s] + begin[s], plain == word
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 2000):
+            ids = numbers(batch, "id")
+            for s, word, at, forward in read(batch):
+                a, b = paired(s, word, at, forward)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s[a]]), pa.array((at[b] + at[a] if inverted else at[b] - at[a]) // width), pa.array(at[a])], ["id", "diagonal", "pos"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 1):
+            for s, word, at, forward in read(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers(batch, "id")[s]), pa.array(word), pa.array(at), pa.array(forward)], ["id", "word", "at", "forward"])
+
+    every = rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
+    found = every.where(F.length("seq") <= WHOLE).mapInArrow(near, "id long, diagonal long, pos long")
+    long_ = every.where(F.length("seq") > WHOLE).mapInArrow(words, "id long, word long, at long, forward boolean")
+    w = Window.partitionBy("id", "word").orderBy("at")
+    long_ = long_.select("id", F.col("at").alias("pos"), F.lead("at").over(w).alias("next"), (F.col("forward") != F.lead("forward").over(w)).alias("turned"))
+    long_ = long_.where(F.col("next") - F.col("pos") >= least).where(F.col("next") - F.col("pos") <= most).where(F.col("turned") if inverted else F.lit(True))
+    found = found.unionByName(long_.select("id", F.floor((F.col("next") + (F.col("pos") if inverted else -F.col("pos"))) / width).alias("diagonal"), "pos"))
     bins = found.groupBy("id", "diagonal").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     return bins.where(F.col("n_words") >= hits)

@@ -12,16 +12,42 @@ from retromill.queries.registry import query
 from retromill.shared import table
 
 LTR = "regexp_matches(regexp_replace(trim({}), '[?]+$', ''), '(?i)^LTR(/|$)')"
+CLASSED = f"""{HELD}, hit as (select hit_id, any_value(name) as name, any_value(partner) as partner from seed_hits group by hit_id),
+rc as (select name, max(te_class) as cls from ref_library where te_class is not null group by name),
+v as (select family, cls, count(*) as n from hit join held on partner = member join rc on rc.name = hit.name group by family, cls),
+cc as (select family, cls from (select *, row_number() over (partition by family order by n desc, cls) as k from v) where k = 1)"""
+
+
+def consensus_class(spark, d):
+    from retromill.operators.skew import distinct_hits
+
+    hits = distinct_hits(table(spark, d, "seed_hits")).where("name is not null and partner is not null").groupBy("name", "partner").agg(F.count(F.lit(1)).alias("n"))
+    ref = table(spark, d, "ref_library").where("te_class is not null").groupBy("name").agg(F.max("te_class").alias("cls"))
+    votes = hits.join(ref, "name").groupBy(F.col("partner").alias("member"), "cls").agg(F.sum("n").alias("n")).join(held(spark, d), "member").groupBy("family", "cls").agg(F.sum("n").alias("n"))
+    return votes.groupBy("family").agg(F.min(F.struct((-F.col("n")).alias("less"), "cls")).alias("x")).select(F.col("family").alias("consensus"), F.col("x.cls").alias("class"))
+
+
+#: the entries to classify: the library, and all elements with the class of their consensus
+LIB = f"""{CLASSED}, lib as (select name, te_class, strand, clade from ref_library union all select member, cls, null, null from held left join cc using (family))"""
+
+
+def library(spark, d):
+    e = cl.class_of_elements(held(spark, d).withColumnRenamed("family", "consensus"), consensus_class(spark, d))
+    none = F.lit(None).cast("string")
+    e = e.select(F.col("member").alias("name"), F.when(F.col("class") != "unassigned", F.col("class")).alias("te_class"), none.alias("strand"), none.alias("clade"))
+    return table(spark, d, "ref_library").select("name", "te_class", "strand", "clade").unionByName(e)
+
+
 #: every third entry of the library has its class in the name, the others in a token
-HEADERS = """h as (select name, case when te_class is null then '>' || name || ' strand=' || coalesce(strand, '?') when ascii(right(name, 1)) % 3 = 0 then '>' || name || '#' || te_class || ' strand=' || coalesce(strand, '?')
-else '>' || name || ' class=' || te_class || ' strand=' || coalesce(strand, '?') end as header from ref_library)"""
-CALLS = f"""c as (select case when strand = '+' then 'rexdb' else 'gydb' end as db, name as te_id, split_part(te_class, '/', 1) as o, case when contains(te_class, '/') then split_part(te_class, '/', 2) else 'unknown' end as sf, coalesce(strand, '?') as strand, coalesce(clade, 'unknown') as clade from ref_library where te_class is not null and name is not null
-union all select 'gydb', name, 'LTR', 'Pao', '-', 'unknown' from ref_library where clade is null and name is not null),
+HEADERS = f"""{LIB}, h as (select name, case when te_class is null then '>' || name || ' strand=' || coalesce(strand, '?') when ascii(right(name, 1)) % 3 = 0 then '>' || name || '#' || te_class || ' strand=' || coalesce(strand, '?')
+else '>' || name || ' class=' || te_class || ' strand=' || coalesce(strand, '?') end as header from lib)"""
+CALLS = f"""{LIB}, c as (select case when strand = '+' then 'rexdb' else 'gydb' end as db, name as te_id, split_part(te_class, '/', 1) as o, case when contains(te_class, '/') then split_part(te_class, '/', 2) else 'unknown' end as sf, coalesce(strand, '?') as strand, coalesce(clade, 'unknown') as clade from lib where te_class is not null and name is not null
+union all select 'gydb', name, 'LTR', 'Pao', '-', 'unknown' from lib where clade is null and name is not null),
 k as (select db, te_id, strand, clade, case when o = 'LTR' and s <> 'unknown' then 'LTR/' || s when o <> 'Unknown' then o || '/unknown' else 'Unknown' end as class_label from (select *, case sf when 'Pao' then 'Bel-Pao' when 'Retroviridae' then 'Retrovirus' else sf end as s from c))"""
 
 
 def headers(spark, d):
-    r = table(spark, d, "ref_library")
+    r = library(spark, d)
     strand = F.concat(F.lit(" strand="), F.coalesce("strand", F.lit("?")))
     name = F.concat(F.lit(">"), "name")
     h = F.when(F.col("te_class").isNull(), F.concat(name, strand)).when(F.ascii(F.right("name", F.lit(1))) % 3 == 0, F.concat(name, F.lit("#"), "te_class", strand)).otherwise(F.concat(name, F.lit(" class="), "te_class", strand))
@@ -29,7 +55,7 @@ def headers(spark, d):
 
 
 def calls(spark, d):
-    r = table(spark, d, "ref_library").where("name is not null")
+    r = library(spark, d).where("name is not null")
     sf = F.when(F.col("te_class").contains("/"), F.split_part("te_class", F.lit("/"), F.lit(2))).otherwise("unknown")
     one = r.where("te_class is not null").select(F.when(F.col("strand") == "+", "rexdb").otherwise("gydb").alias("db"), F.col("name").alias("te_id"), F.split_part("te_class", F.lit("/"), F.lit(1)).alias("o"), sf.alias("sf"), F.coalesce("strand", F.lit("?")).alias("strand"), F.coalesce("clade", F.lit("unknown")).alias("clade"))
     two = r.where("clade is null").select(F.lit("gydb").alias("db"), F.col("name").alias("te_id"), F.lit("LTR").alias("o"), F.lit("Pao").alias("sf"), F.lit("-").alias("strand"), F.lit("unknown").alias("clade"))
@@ -45,11 +71,11 @@ def classifier_calls(spark, d):
 
 @query(f"""with {CALLS}, b as (select *, row_number() over (partition by te_id, db order by class_label desc, domains desc, strand desc, complete desc, clade desc) as v from (select *, 'none' as domains, 'no' as complete from k)),
 p as (select *, row_number() over (partition by te_id order by not {LTR.format('class_label')}, case db when 'rexdb' then 0 else 1 end) as best from b where v = 1),
-ids as (select name as te_id from ref_library where name is not null union select name from consensi where name is not null)
+ids as (select name as te_id from lib where name is not null union select name from consensi where name is not null)
 select ids.te_id, db, coalesce(class_label, 'Unknown') as class_label, coalesce(domains, 'none') as domains, coalesce(strand, '?') as strand, coalesce(complete, 'no') as complete, coalesce(clade, 'unknown') as clade from ids left join p on p.te_id = ids.te_id and best = 1""")
 def class_merge(spark, d):
     """One call for each library entry and consensus from two databases, LTR calls first."""
-    ids = table(spark, d, "ref_library").select(F.col("name").alias("te_id")).union(table(spark, d, "consensi").select("name")).where("te_id is not null")
+    ids = library(spark, d).select(F.col("name").alias("te_id")).union(table(spark, d, "consensi").select("name")).where("te_id is not null")
     return cl.merge_calls(ids, calls(spark, d), ["rexdb", "gydb"])
 
 
@@ -98,21 +124,6 @@ def feature_slice(spark, d):
     return cl.load_elements(r.select(header.alias("header"), F.col("full_seq").alias("seq")))
 
 
-CLASSED = f"""{HELD}, hit as (select hit_id, any_value(name) as name, any_value(partner) as partner from seed_hits group by hit_id),
-rc as (select name, max(te_class) as cls from ref_library where te_class is not null group by name),
-v as (select family, cls, count(*) as n from hit join held on partner = member join rc on rc.name = hit.name group by family, cls),
-cc as (select family, cls from (select *, row_number() over (partition by family order by n desc, cls) as k from v) where k = 1)"""
-
-
-def consensus_class(spark, d):
-    from retromill.operators.skew import distinct_hits
-
-    hits = distinct_hits(table(spark, d, "seed_hits")).where("name is not null and partner is not null").groupBy("name", "partner").agg(F.count(F.lit(1)).alias("n"))
-    ref = table(spark, d, "ref_library").where("te_class is not null").groupBy("name").agg(F.max("te_class").alias("cls"))
-    votes = hits.join(ref, "name").groupBy(F.col("partner").alias("member"), "cls").agg(F.sum("n").alias("n")).join(held(spark, d), "member").groupBy("family", "cls").agg(F.sum("n").alias("n"))
-    return votes.groupBy("family").agg(F.min(F.struct((-F.col("n")).alias("less"), "cls")).alias("x")).select(F.col("family").alias("consensus"), F.col("x.cls").alias("class"))
-
-
 @query(f"with {CLASSED} select member, family as consensus, coalesce(cls, 'unassigned') as class from held left join cc using (family)")
 def element_classes(spark, d):
     """The class of each member by that of its consensus, which library elements vote on by their hits."""

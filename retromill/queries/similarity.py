@@ -185,3 +185,26 @@ def repeat_diagonals(spark, d):
     """Two similar copies within one element, by the distance at which its words recur."""
     e, _ = elements(spark, d)
     return seeds.repeat_diagonals(e, "elem", "full_seq").join(e.select(F.col("elem").alias("id"), "name"), "id").drop("id")
+
+
+def _recurring(spark, d, **how):
+    e, _ = elements(spark, d)
+    return seeds.repeat_diagonals(e, "elem", "full_seq", **how).join(e.select(F.col("elem").alias("id"), "name"), "id").drop("id")
+
+
+RECUR = """{records}, w as (select name, full_seq as s, unnest(range(1, length(full_seq) - 10)) as i from r where length(full_seq) >= 12),
+x as (select name, i - 1 as loc, substr(s, i, 12) as w from w), v as (select name, loc, w, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as c from x where regexp_full_match(w, '[ACGT]{12}'))"""
+
+
+@query(f"""with {RECUR}, y as (select *, lead(loc) over (partition by name, w order by loc) - loc as far from v)
+select name, far // 4 as diagonal, count(*) as n_words, min(loc) as first_pos, max(loc) as last_pos from y where far between 2 and 199 group by 1, 2 having count(*) >= 5""")
+def tandem_arrays(spark, d):
+    """Words that recur at a short distance, by the length of the unit."""
+    return _recurring(spark, d, least=2, most=199, width=4, hits=5)
+
+
+@query(f"""with {RECUR}, y as (select *, lead(loc) over g as nxt, lead(w = c) over g <> (w = c) as turned from v window g as (partition by name, c order by loc))
+select name, (loc + nxt) // 64 as diagonal, count(*) as n_words, min(loc) as first_pos, max(loc) as last_pos from y where turned and nxt - loc between 50 and 30000 group by 1, 2 having count(*) >= 2""")
+def inverted_repeats(spark, d):
+    """Copies on the other strand of one element, by the sum of both positions."""
+    return _recurring(spark, d, least=50, hits=2, inverted=True)

@@ -69,3 +69,17 @@ def test_no_sequences(spark):
     among = seeds.usable_words(seeds.word_counts(df, "id", "seq"), 20)
     assert not among.any() and seeds.pair_counts(df, among).collect() == []
     assert seeds.anchored_pairs(seeds.shared_words(df, "id", "seq", 20)).collect() == []
+
+
+def test_long_sequences_are_searched_by_a_shuffle(spark, monkeypatch):
+    rng = random.Random(5)
+    new = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, unit = new(300), new(40)
+    turned = a.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    rows = [(1, a + new(500) + a), (2, a + "N" + new(400) + turned), (3, unit * 12), (4, None), (5, "ACGT"), (6, new(200))]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    for how in ({}, {"inverted": True}, {"least": 2, "most": 100, "width": 1}):
+        monkeypatch.setattr(seeds, "WHOLE", 1 << 22)
+        want = sorted(tuple(r) for r in seeds.repeat_diagonals(df, "id", "seq", **how).collect())
+        monkeypatch.setattr(seeds, "WHOLE", 150)
+        assert want and sorted(tuple(r) for r in seeds.repeat_diagonals(df, "id", "seq", **how).collect()) == want
