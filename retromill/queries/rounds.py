@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retromill.operators import coordinates as co
+from retromill.operators.classes import is_ltr
 from retromill.operators.periods import periods_and_gaps
 from retromill.queries.classes import CLASSED, consensus_class
 from retromill.queries.intervals import ALIGNS, ELEMENTS, alignments, elements
 from retromill.queries.registry import query
 from retromill.queries.sequences import records
 from retromill.operators.periods import merge_events
-from retromill.plans.rounds import reconcile, reconcile_nodes, round_bed, round_stats, to_collapse
+from retromill.plans.rounds import original_positions, reconcile, reconcile_nodes, round_bed, round_stats, run_rounds, to_collapse
 from retromill.shared import materialize, table
 
 
@@ -107,3 +108,31 @@ def reused_nodes(spark, d):
     a = alignments(spark, d).withColumn("k", F.col("aln_id") % 4).join(F.broadcast(seqs), "k", "left")
     a, _ = materialize(a.select(F.col("aln_id").alias("id"), "round", F.col("scaffold_idx").cast("long").alias("entity"), F.col("r1s").alias("start"), F.col("r2e").alias("end"), "seq", F.greatest(F.col("r1s") - 100, F.lit(0)).alias("fs"), (F.col("r2e") + 100).alias("fe")))
     return reconcile_nodes(a.where("round > 1"), a.where("round = 1"), taken(spark, d)).withColumnRenamed("id", "aln_id")
+
+
+@query()
+def round_loop(spark, d):
+    """The loop over all rounds of detections: nodes of one consensus are linked, families classified as LTR are taken
+    out after each round, and what the last round found comes out in the coordinates of the original sequences."""
+    names = co.number_rows(table(spark, d, "consensi").where("name is not null").select("name").distinct(), "name", name="k").withColumn("k", F.col("k") - 1)
+    names, facts = materialize(names, F.count(F.lit(1)).alias("n"))
+    of = (F.col("aln_id") % max(1, facts["n"])).alias("k")
+    a, seen = materialize(alignments(spark, d).where("round >= 1").select("aln_id", of, F.col("scaffold_idx").cast("long").alias("entity"), F.col("r1s").alias("start"), F.col("r2e").alias("end"), "round"), F.max("round").alias("most"))
+    ltr = consensus_class(spark, d).where(is_ltr(F.col("class"))).join(names.withColumnRenamed("name", "consensus"), "consensus").select("k").distinct()
+    ltr, _ = materialize(ltr)
+    number = lambda c: F.substring_index(c, "_", -1).cast("long").alias("aln_id")
+
+    def detect(layers, k):
+        return a.where(F.col("round") == k).select(F.col("aln_id").cast("string").alias("name"), "entity", "start", "end")
+
+    def link(nodes):
+        placed = nodes.select("name", number("name")).select("name", of)
+        return placed.join(placed.groupBy("k").agg(F.min("name").alias("first")), "k").where("first <> name").select(F.col("first").alias("a"), F.col("name").alias("b"))
+
+    def keep(families):
+        return families.select("family", "member", number("member")).select("family", "member", of).join(ltr, "k", "left_semi")
+
+    most = seen["most"] or 1
+    _, layers = run_rounds(detect, link, keep, most)
+    last = a.where(F.col("round") == len(layers) + 1).select("aln_id", "entity", "start", "end")
+    return original_positions(last, layers)
