@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retromill.functions.dna import scramble
+from retromill.functions.groups import begins, numbers
 from retromill.shared import materialize
 
 #: hash buckets for terms; the model has at most so many rows, however large the collection
@@ -153,12 +154,49 @@ def _sums(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatc
     return parts.groupBy("row").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(width)))
 
 
+def _united(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(rows, kind="stable")
+    begin = begins(rows[order])
+    return rows[order][begin], np.add.reduceat(values[order], begin)
+
+
 def _sum(rows: DataFrame, height: int, width: int, add: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
-    """The sums as an array on the driver, for what is a part of the model."""
+    """The sums as an array on the driver, for what is a part of the model. Rows of the partial arrays travel as one
+    value each, since as columns they cost a plan of ``width`` sums in every pass."""
+
+    def batch(some: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        flat = np.ascontiguousarray(values)
+        ends = np.arange(len(some) + 1, dtype=np.int32) * (flat.itemsize * width)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(flat)])], ["row", "v"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((height, width))
+        for b in batches:
+            if b.num_rows:
+                add(b, total)
+        some = np.flatnonzero(total.any(axis=1))
+        for i in range(0, len(some), 4096):
+            yield batch(some[i : i + 4096], total[some[i : i + 4096]])
+
+    def read(b, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(-1, width)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            held.append((numbers(b, "row"), read(b, np.float64)))
+            if len(held) > 1 and sum(len(r) for r, _ in held[1:]) > max(20_000, len(held[0][0])):
+                held = [_united(*map(np.concatenate, zip(*held)))]
+        if held and sum(len(r) for r, _ in held):
+            some, values = _united(*map(np.concatenate, zip(*held)))
+            for i in range(0, len(some), 4096):
+                yield batch(some[i : i + 4096], values[i : i + 4096].astype(np.float32))
+
+    few = rows.coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
     out = np.zeros((height, width))
-    t = _sums(rows, height, width, add).select("row", *(F.col(f"v{j}").cast("float").alias(f"v{j}") for j in range(width))).toArrow()
+    t = few.mapInArrow(over, "row int, v binary").repartition("row").mapInArrow(unite, "row int, v binary").toArrow()
     if t.num_rows:
-        out[t.column(0).to_numpy()] = np.column_stack([t.column(j + 1).to_numpy() for j in range(width)])
+        out[t.column("row").to_numpy()] = read(t, np.float32)
     return out
 
 
