@@ -74,7 +74,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: keys with up to so many rows are never hot
-FEW = 10_000
+FEW = 100_000
 
 
 def join_hot_keys(rows: DataFrame, side: DataFrame, key: str, n: str, total: int, most: int = 1000) -> DataFrame:
