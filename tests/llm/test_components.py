@@ -1,5 +1,6 @@
 import random
 
+from retromill import shared
 from retromill.llm.components import hash_to_min, linked_records
 from retromill.shared import materialize
 
@@ -46,7 +47,8 @@ def test_only_known_names(spark, make_records):
     assert sorted(tuple(r) for r in got.select("group_name", "name").collect()) == [("a", "a"), ("a", "b"), ("a", "c")]
 
 
-def test_a_giant_group_beside_the_broadcast_limit(spark):
+def test_a_giant_group_beside_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(shared, "FEW", 10_000)  # its keys are hot, and broadcast
     n = 12_000
     df = spark.range(n).selectExpr("'hub' as a", "concat('n', id) as b")
     got, facts = materialize(hash_to_min(df, "a", "b"))
