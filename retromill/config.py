@@ -21,6 +21,7 @@ class Thresholds:
     min_flank_len: int = 50
     min_cluster_size: int = 3
     consensus: float = 0.40
+    ambiguity: float = 0.0
     saturation: float = 0.60
     merge_edit_frac: float = 0.20
     merge_identity: float = 0.80

@@ -33,6 +33,16 @@ def homopolymer_compress(s: Column) -> Column:
     return F.regexp_replace(s, r"(.)\1+", "$1")
 
 
+def homopolymer_lengths(s: Column) -> Column:
+    """The length of each run of one letter, in order: what :func:`homopolymer_compress` takes away."""
+    return F.transform(F.regexp_extract_all(s, F.lit(r"((.)\2*)"), F.lit(1)), lambda run: F.length(run))
+
+
+def homopolymer_expand(s: Column, lengths: Column) -> Column:
+    """The sequence that was compressed to ``s`` with these ``lengths`` of its runs. Null if one is null."""
+    return F.array_join(F.zip_with(F.split(s, ""), lengths, lambda x, n: F.repeat(x, n)), "")
+
+
 def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The codes 0-3 (4 for other letters) of all strings of a column, end to end, and the
     offsets of each; a null is empty."""

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retromill.config import Thresholds
@@ -78,11 +78,12 @@ def column_counts(rows: DataFrame, family: str, row: str) -> DataFrame:
 def majority(counts: DataFrame, n: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """``family``, ``consensus``, ``conservation`` and ``saturation`` (arrays, for each column the share of
     the ``n`` sequences with the most frequent base, and with any). A base with at least the
-    threshold of a column's bases is taken, several as their ambiguity code, none as N; a column
-    without bases is '-'."""
+    threshold of a column's bases is taken, several as their ambiguity code; if there is none, those with at least
+    ``t.ambiguity`` of the bases if that is set, else N; a column without bases is '-'."""
     total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
-    above = F.filter(F.array(*(F.when(F.col(b.lower()) / total >= t.consensus, F.lit(b)) for b in "ACGT")), lambda b: b.isNotNull())
-    letter = F.when(total == 0, "-").otherwise(iupac(above))
+    above = lambda least: F.filter(F.array(*(F.when(F.col(b.lower()) / total >= least, F.lit(b)) for b in "ACGT")), lambda b: b.isNotNull())
+    bases = F.when(F.size(above(t.consensus)) > 0, above(t.consensus)).otherwise(above(t.ambiguity)) if t.ambiguity else above(t.consensus)
+    letter = F.when(total == 0, "-").otherwise(iupac(bases))
     cols = counts.join(n, "family").select(
         "family", F.struct("col", letter.alias("base"), (F.greatest("a", "c", "g", "t") / F.col("n")).alias("cons"), (total / F.col("n")).alias("sat")).alias("x")
     )
@@ -90,6 +91,37 @@ def majority(counts: DataFrame, n: DataFrame, t: Thresholds = Thresholds()) -> D
     return whole.select("family", F.array_join("x.base", "").alias("consensus"), F.col("x.cons").alias("conservation"), F.col("x.sat").alias("saturation"))
 
 
+def quick_consensus(counts: DataFrame) -> DataFrame:
+    """``family``, ``consensus``: the most frequent base of each column, the first in the alphabet on a tie, N where there is
+    none; without ambiguity codes."""
+    most = F.greatest("a", "c", "g", "t")
+    letter = F.when(most == 0, "N").when(F.col("a") == most, "A").when(F.col("c") == most, "C").when(F.col("g") == most, "G").otherwise("T")
+    whole = counts.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("col", letter.alias("base")))).alias("x"))
+    return whole.select("family", F.array_join("x.base", "").alias("consensus"))
+
+
+def reversed_counts(counts: DataFrame) -> DataFrame:
+    """The column counts of the other strand: columns from the end, A for T and C for G."""
+    last = counts.groupBy("family").agg(F.max("col").alias("_last"))
+    return counts.join(last, "family").select("family", (F.col("_last") - F.col("col")).alias("col"), F.col("t").alias("a"), F.col("g").alias("c"), F.col("c").alias("g"), F.col("a").alias("t"))
+
+
+def merged_counts(left: DataFrame, right: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Two tables of column counts merged through alignments: ``family``, ``col``, ``a``, ``c``, ``g``, ``t``. ``aligned`` has
+    ``family``, ``cigar`` once for each family, D for columns of ``left`` alone and I for those of ``right`` alone. Columns
+    beyond the end of a table are left out, as is a family with a null or empty CIGAR; a family of any number of sequences is its columns only."""
+    at = lambda ops: F.sum(F.when(F.col("s.op").isin(*ops), F.col("s.n")).otherwise(0)).over(Window.partitionBy("family").orderBy("k")) - F.when(F.col("s.op").isin(*ops), F.col("s.n")).otherwise(0)
+    steps = aligned.where("cigar <> ''").select("family", F.posexplode(cigar_steps(F.col("cigar"))).alias("k", "s")).where("s.n > 0")
+    steps = steps.select("family", F.col("s.op").alias("op"), F.col("s.n").alias("n"), at("MD").alias("la"), at("MI").alias("lb"), at("MDI").alias("lo"))
+    each = steps.select("family", "op", "la", "lb", "lo", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    place = lambda c, ops: F.when(F.col("op").isin(*ops), F.col(c) + F.col("i"))
+    cols = each.select("family", "op", (F.col("lo") + F.col("i")).alias("_o"), place("la", "MD").alias("_l"), place("lb", "MI").alias("_r"))
+    side = lambda c, name, p: c.select("family", F.col("col").cast("long").alias(name), *(F.col(b).alias(p + b) for b in "acgt"))
+    both = cols.join(side(left, "_l", "l_"), ["family", "_l"], "left").join(side(right, "_r", "r_"), ["family", "_r"], "left")
+    there = F.when(F.col("op") == "M", F.col("l_a").isNotNull() & F.col("r_a").isNotNull()).otherwise(F.coalesce("l_a", "r_a").isNotNull())
+    return both.where(there).select("family", F.col("_o").alias("col"), *((F.coalesce(f"l_{b}", F.lit(0)) + F.coalesce(f"r_{b}", F.lit(0))).alias(b) for b in "acgt"))
+
+
 def boundaries(cons: DataFrame, n: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Adds ``first`` and ``last``: where the first run of conserved columns begins and the last one ends,
     counted from 0, or nulls. A run is shorter the more sequences there are."""

@@ -228,3 +228,26 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, s: str, e: str, oth
     l = numbered.where(F.col(s) < F.col(e)).select("_id", F.col(key).alias("_k"), F.col(s).alias("_a"), F.col(e).alias("_b")).withColumn("_lbin", bins("_a", "_b"))
     hit = l.join(r, (F.col("_k") == F.col("_key")) & (F.col("_lbin") == F.col("_bin")) & (F.col("_a") < F.col("_e")) & (F.col("_s") < F.col("_b")), "left_semi")
     return numbered.join(hit.select("_id").distinct(), "_id", "left_semi").drop("_id")
+
+
+def tandem_bed(alignments: DataFrame, scaffolds: DataFrame) -> DataFrame:
+    """``name``, ``start``, ``end``: the stretch that each alignment (``seq_index``, ``s1``, ``e1``, ``s2``, ``e2``) of a sequence
+    with itself covers, under the sequence's name. Empty ones, those with nulls or of unknown sequences have none."""
+    span = alignments.select("seq_index", F.least("s1", "s2").alias("start"), F.greatest("e1", "e2").alias("end")).where("start < end")
+    return span.join(scaffolds.select("seq_index", "name"), "seq_index").where("name is not null").select("name", "start", "end")
+
+
+def large_indels(blocks: DataFrame, a: str, b: str, least: int = 50, width: int = BIN) -> DataFrame:
+    """``a``, ``b``, ``kind``, ``start``, ``end``, ``n_bases``: where one of two aligned sequences has ``least`` bases or more that the other lacks.
+
+    ``blocks`` has columns ``a``, ``b``, ``sa``, ``ea``, ``sb``, ``eb``. Each block is met with the last one of its pair that begins before it in
+    ``a``; of several that begin at one place the greatest (``sb``, ``ea``, ``eb``) counts. If the second begins later in ``b`` too, the
+    difference of the gaps is an insertion in ``a`` (kind 'a') or in ``b``, which lies between the blocks there. Blocks
+    with nulls are left out. The blocks of one pair are met in bins, so a pair of any size is many tasks."""
+    some = blocks.dropna(subset=[a, b, "sa", "ea", "sb", "eb"]).groupBy(F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("pair"), "sa").agg(F.max(F.struct("sb", "ea", "eb")).alias("x")).select("pair", "sa", "x.*")
+    steps = some.select("pair", F.col("sa").alias("at"), F.col("sb").alias("psb"), F.col("ea").alias("pea"), F.col("eb").alias("peb"))
+    near = _last_before(some.withColumn("point", F.col("sa") - 1), steps, "pair", "point", "at", ["psb", "pea", "peb"], width).where("sb > psb")
+    more = (F.col("sa") - F.col("pea")) - (F.col("sb") - F.col("peb"))
+    near = near.withColumn("more", more).where(F.abs("more") >= least)
+    first = F.col("more") > 0
+    return near.select("pair.a", "pair.b", F.when(first, "a").otherwise("b").alias("kind"), F.when(first, F.col("pea")).otherwise(F.col("peb")).alias("start"), F.when(first, F.col("sa")).otherwise(F.col("sb")).alias("end"), F.abs("more").alias("n_bases"))

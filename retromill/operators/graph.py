@@ -79,6 +79,17 @@ def reused_edges(old: DataFrame, a: str, b: str, alive: DataFrame) -> DataFrame:
     return old.join(n.withColumnRenamed("name", a), a, "left_semi").join(n.withColumnRenamed("name", b), b, "left_semi")
 
 
+def without_classes(nodes: DataFrame, edges: DataFrame, a: str, b: str, excluded: tuple[str, ...] = ("unassigned", "non-LTR")) -> DataFrame:
+    """``node``, ``class``, ``component``: the nodes of components none of whose nodes has an ``excluded`` class. ``nodes`` has
+    ``node`` (unique) and ``class``; null is 'unassigned'. A node without edges is a component of its own, an end of an edge that is no
+    node has no class and so excludes its component. A component of any size is spread over the tasks."""
+    known = nodes.where("node is not null").select("node", F.coalesce("class", F.lit("unassigned")).alias("class"))
+    placed = known.join(components(edges, a, b), "node", "full").select("node", F.coalesce("class", F.lit("unassigned")).alias("class"), F.coalesce("component", "node").alias("component"))
+    placed, facts = materialize(placed, F.count(F.lit(1)).alias("n"))
+    kept = placed.groupBy("component").agg(F.max(F.col("class").isin(*excluded)).alias("_bad"), F.count(F.lit(1)).alias("_n")).where("not _bad")
+    return join_hot_keys(placed, kept, "component", "_n", facts["n"]).select("node", "class", "component")
+
+
 def gml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``line``, ``ord``: the graph as text, one block for each node and edge, nodes first; ``nodes`` has
     ``id``, ``label``, ``edges`` has ``source``, ``target`` and their percentages."""

@@ -130,6 +130,12 @@ def bucket_sizes(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("n_words"))
 
 
+def bucket_histogram(counts: DataFrame, max_bucket: int) -> DataFrame:
+    """``size``, ``n_words``: how many words 2 to ``max_bucket`` sequences share, and with null ``size`` how many more do."""
+    some = bucket_sizes(counts).where("size >= 2")
+    return some.groupBy(F.when(F.col("size") <= max_bucket, F.col("size")).alias("size")).agg(F.sum("n_words").alias("n_words"))
+
+
 def shared_words(rows: DataFrame, id_: str, seq: str, max_bucket: int, max_ratio: float | None = None, elements: int | None = None, k: int = 12) -> DataFrame:
     """``i`` < ``j``, ``pi``, ``pj``, ``word``: each word that two sequences share. A word that more than
     ``max_bucket`` sequences have is no seed and is left out whole, which also bounds the pairs of a

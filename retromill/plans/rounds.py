@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retromill.operators.classes import is_ltr
-from retromill.operators.coordinates import lift_through, overlapping
+from retromill.operators.coordinates import lift_through, overlapping, scan_windows, with_shifts
 from retromill.operators.graph import families
 from retromill.operators.periods import merge_events, periods_and_gaps
 from retromill.shared import materialize
@@ -59,6 +59,26 @@ def round_stats(placed: DataFrame, scaffolds: DataFrame) -> DataFrame:
     return both.select("round", "n_elements", "covered", F.bround(F.col("covered") * 10000 / F.col("total"), 0).cast("long").alias("permyriad"))
 
 
+def scan_stats(placed: DataFrame, scaffolds: DataFrame, flank: int = 32_768) -> DataFrame:
+    """How each round of scans shortens the sequences: ``round``, ``n_events``, ``removed``, ``before`` and ``after`` (bases),
+    ``round_permyriad`` and ``total_permyriad`` taken out, ``active_bp`` (windows around what the round before took out; all
+    in the first) and ``skipped_bp``. ``placed`` has ``round``, ``entity`` (round and scaffold in one number), ``orig_start``,
+    ``orig_end``, ``unit_len``. Only the totals of rounds, a few rows, meet in one task."""
+    of = F.shiftright("entity", 32).cast("int").alias("round")
+    n = placed.groupBy("round").agg(F.count(F.lit(1)).alias("n_events"))
+    taken = with_shifts(placed.drop("round")).groupBy(of).agg(F.sum("removed").alias("removed"))
+    known = placed.select("round", "entity").distinct().withColumn("seq_index", F.col("entity").bitwiseAND(F.lit(2**32 - 1)))
+    lengths = known.join(scaffolds.select("seq_index", F.col("scaf_len").alias("len")), "seq_index").select("entity", "len")
+    windows = scan_windows(placed.select("entity", "orig_start", "orig_end"), lengths, flank).groupBy(of).agg(F.sum(F.col("win_end") - F.col("win_start")).alias("window"))
+    total = scaffolds.agg(F.sum("scaf_len").alias("total"))
+    w = Window.orderBy("round")
+    both = n.join(taken, "round").join(windows, "round", "left").join(F.broadcast(total))
+    both = both.withColumn("after", F.col("total") - F.sum("removed").over(w)).withColumn("before", F.col("after") + F.col("removed"))
+    both = both.withColumn("active_bp", F.when(F.row_number().over(w) == 1, F.col("total")).otherwise(F.coalesce(F.lag("window").over(w), F.lit(0))))
+    share = lambda part, of: F.bround(part * 10000 / of, 0).cast("long")
+    return both.select("round", "n_events", "removed", "before", "after", share(F.col("removed"), F.col("before")).alias("round_permyriad"), share(F.col("total") - F.col("after"), F.col("total")).alias("total_permyriad"), "active_bp", (F.col("total") - F.col("active_bp")).alias("skipped_bp"))
+
+
 def run_rounds(detect: Callable[[list[DataFrame], int], DataFrame], link: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], most: int = 10) -> tuple[DataFrame, list[DataFrame]]:
     """Scan, cluster and collapse until nothing is left to take out: the families of the last round and
     the maps of all rounds.

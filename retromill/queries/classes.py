@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from retromill.operators import classes as cl
 from retromill.queries.intervals import ELEMENTS, elements
 from retromill.operators import coordinates as co
-from retromill.queries.families import HELD, held
+from retromill.operators import graph
+from retromill.queries.families import FAMILIES, HELD, held, links
 from retromill.queries.registry import query
 from retromill.shared import table
 
@@ -130,6 +131,17 @@ def element_classes(spark, d):
     return cl.class_of_elements(held(spark, d).withColumnRenamed("family", "consensus"), consensus_class(spark, d))
 
 
+@query(f"""with recursive {FAMILIES}, {CLASSED}, mc as (select member, max(cls) as cls from held left join cc using (family) group by member),
+nodes as (select r.name as node, coalesce(mc.cls, 'unassigned') as class, coalesce(comp.component, r.name) as component from r left join mc on mc.member = r.name left join comp on comp.member = r.name)
+select node, class, component from nodes where component not in (select component from nodes where class in ('unassigned', 'non-LTR'))""")
+def classified_components(spark, d):
+    """Components of linked elements of which every element has the class of a consensus."""
+    e = cl.class_of_elements(held(spark, d).withColumnRenamed("family", "consensus"), consensus_class(spark, d))
+    best = e.where("class <> 'unassigned'").groupBy(F.col("member").alias("name")).agg(F.max("class").alias("class"))
+    names = table(spark, d, "ltr_records").select("name").where("name is not null").distinct()
+    return graph.without_classes(names.join(best, "name", "left").withColumnRenamed("name", "node"), links(spark, d), "a", "b")
+
+
 @query(f"with {CLASSED} select coalesce(cls, 'unassigned') as class, {LTR.format('cls')} is true as ltr, count(distinct family) as n_families, count(*) as n_members from held left join cc using (family) group by 1, 2")
 def family_classes(spark, d):
     e = cl.class_of_elements(held(spark, d).withColumnRenamed("family", "consensus"), consensus_class(spark, d))

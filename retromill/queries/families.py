@@ -92,6 +92,21 @@ def conservation(spark, d):
     return each.select("family", F.col("col").cast("long").alias("col"), F.round("x.conservation", 6).alias("conservation"), F.round("x.saturation", 6).alias("saturation"))
 
 
+@query(f"with {COLUMNS} select family, string_agg(case when greatest(a, c, g, t) = 0 then 'N' when a = greatest(a, c, g, t) then 'A' when c = greatest(a, c, g, t) then 'C' when g = greatest(a, c, g, t) then 'G' else 'T' end, '' order by col) as consensus from cc group by family")
+def quick_consensus(spark, d):
+    """The most frequent base at each place of the left repeats of the members of each consensus."""
+    return cs.quick_consensus(_window(spark, d)[0])
+
+
+@query(f"""with {COLUMNS}, la as (select family, max(col) as last from cc group by family), rc as (select family, last - col + 10 as col, t as a, g as c, c as g, a as t from cc join la using (family))
+select family, cast(col as bigint) as col, cast(sum(a) as bigint) as a, cast(sum(c) as bigint) as c, cast(sum(g) as bigint) as g, cast(sum(t) as bigint) as t from (select family, col, a, c, g, t from cc union all select family, col, a, c, g, t from rc) where family in (select family from la where last >= 10) group by family, col""")
+def merged_profiles(spark, d):
+    """The column counts of each consensus merged with those of the other strand, ten columns on."""
+    counts, _ = materialize(_window(spark, d)[0])
+    n = counts.groupBy("family").agg((F.max("col") + 1).alias("n")).where("n > 10")
+    return cs.merged_counts(counts, cs.reversed_counts(counts), n.select("family", F.format_string("10D%dM10I", F.col("n") - 10).alias("cigar"))).withColumn("col", F.col("col").cast("long"))
+
+
 @query(f"with {COLUMNS} select family, cast(first as bigint) as first, cast(last as bigint) as last from bound")
 def conserved_bounds(spark, d):
     counts, n = _window(spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from retromill.functions import labels
 from retromill.operators import classes as cl
 from retromill.operators import coordinates as co
 from retromill.queries.classes import CLASSED, consensus_class
@@ -109,3 +110,13 @@ def lined_alignments(spark, d):
 def line_kinds(spark, d):
     """How many lines of each kind the file has."""
     return text.line_kinds(typed_lines(spark, d)).select("kind", "n")
+
+
+@query("""with {records} select regexp_replace(name, '\\s.*', '') || '_' || regexp_replace(split_part(coalesce(genome, 'none'), '.', 1), '[-_.]', '', 'g') as name, 'genome=' || coalesce(genome, 'none') as descr, length(full_seq) as len, md5(full_seq) as digest from r""")
+def combined_genomes(spark, d):
+    """The elements of all genomes written as one FASTA under names with the label of their genome, and read back."""
+    r = records(spark, d, "full_seq", plain=("genome",)).withColumn("genome", F.coalesce("genome", F.lit("none")))
+    label = labels.gml_safe(F.substring_index("genome", ".", 1))
+    path = scratch(spark)
+    text.write_fasta(r.select(F.concat(F.regexp_replace("name", r"\s.*", ""), F.lit("_"), label, F.lit(" genome="), "genome").alias("header"), "full_seq"), "header", "full_seq", path, 60)
+    return text.read_fasta(spark, path).select("name", "descr", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("digest"))

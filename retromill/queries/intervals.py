@@ -233,3 +233,34 @@ def chained_maps(spark, d):
     """Elements collapsed by one map that does what two maps do one after the other."""
     seqs, first, second = touched(spark, d)
     return co.collapse_sequences(seqs, co.chain(first, second))
+
+
+MASKED = """b as (select *, max(e) over (partition by entity order by s, e rows between unbounded preceding and 1 preceding) as before from t1),
+g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by entity order by s, e rows unbounded preceding) as island from b),
+m as (select entity, min(s) as a, max(e) as z from g group by entity, island),
+c as (select entity, a, least(z, length(seq)) as z, seq from m join s0 using (entity) where a < length(seq) union all select entity, length(seq), length(seq), seq from s0),
+k as (select entity, seq, coalesce(lag(z) over (partition by entity order by a, z), 0) as f, a, z from c)"""
+
+
+@query(f"with {{records}}, {TOUCHED}, {SEQS}, {MASKED} select entity, string_agg(substr(seq, f + 1, a - f) || repeat('N', z - a), '' order by f, a) as seq from k group by entity")
+def masked_sequences(spark, d):
+    """Elements with the words at which forward hits touch them as N."""
+    seqs, first, _ = touched(spark, d)
+    return co.mask_sequences(seqs, first)
+
+
+@query(f"""with {ALIGNS} select s.name, least(r1s, r2s) as start, greatest(r1e, r2e) as "end" from x join scaffolds s on s.seq_index = x.scaffold_idx where r1s is not null and s.name is not null and least(r1s, r2s) < greatest(r1e, r2e)""")
+def tandem_bed(spark, d):
+    """The stretches that alignments cover, under the names of their scaffolds."""
+    a = alignments(spark, d).select(F.col("scaffold_idx").alias("seq_index"), F.col("r1s").alias("s1"), F.col("r1e").alias("e1"), F.col("r2s").alias("s2"), F.col("r2e").alias("e2"))
+    return co.tandem_bed(a, table(spark, d, "scaffolds"))
+
+
+@query("""with h as (select name as a, partner as b, cast(pi as bigint) as sa, max(cast(pj as bigint)) as sb from seed_hits where name is not null and partner is not null and pi is not null and pj is not null and not is_rc group by 1, 2, 3),
+n as (select *, lag(sa) over w + 12 as pea, lag(sb) over w + 12 as peb, lag(sb) over w as psb from h window w as (partition by a, b order by sa)),
+q as (select *, (sa - pea) - (sb - peb) as more from n where sb > psb)
+select a, b, case when more > 0 then 'a' else 'b' end as kind, case when more > 0 then pea else peb end as start, case when more > 0 then sa else sb end as "end", abs(more) as n_bases from q where abs(more) >= 50""")
+def large_indels(spark, d):
+    """Insertions of 50 bases or more between the words at which elements and their partners meet."""
+    h = table(spark, d, "seed_hits").where("not is_rc").select("name", "partner", F.col("pi").cast("long").alias("sa"), (F.col("pi") + 12).cast("long").alias("ea"), F.col("pj").cast("long").alias("sb"), (F.col("pj") + 12).cast("long").alias("eb"))
+    return co.large_indels(h, "name", "partner")

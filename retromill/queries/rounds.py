@@ -13,7 +13,7 @@ from retromill.queries.intervals import ALIGNS, ELEMENTS, alignments, elements
 from retromill.queries.registry import query
 from retromill.queries.sequences import records
 from retromill.operators.periods import merge_events
-from retromill.plans.rounds import original_positions, reconcile, reconcile_nodes, round_bed, round_stats, run_rounds, to_collapse
+from retromill.plans.rounds import original_positions, reconcile, reconcile_nodes, round_bed, round_stats, run_rounds, scan_stats, to_collapse
 from retromill.shared import materialize, table
 
 
@@ -68,6 +68,25 @@ def round_report(spark, d):
     return round_stats(placed, table(spark, d, "scaffolds"))
 
 
+@query(f"""with {ALIGNS}, i as (select round, cast(scaffold_idx as bigint) as entity, r1s as s, r2e as e, greatest(r1e - r1s, 0) as unit from x where round is not null and r1e is not null and scaffold_idx in (select seq_index from scaffolds)),
+b as (select *, max(e) over (partition by round, entity order by s, e, unit rows between unbounded preceding and 1 preceding) as before from i),
+g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by round, entity order by s, e, unit rows unbounded preceding) as island from b),
+m as (select round, entity, min(s) as s, max(e) as e, case when count(*) = 1 then least(max(unit), max(e) - min(s)) else 0 end as unit from g group by round, entity, island),
+w as (select round, entity, greatest(s - 32768, 0) as s, least(e + 32768, scaf_len) as e from i join scaffolds on seq_index = entity where scaf_len is not null),
+wb as (select *, max(e) over (partition by round, entity order by s, e rows between unbounded preceding and 1 preceding) as before from w where s < e),
+win as (select round, cast(sum(greatest(0, e - greatest(s, coalesce(before, s)))) as bigint) as active from wb group by round),
+t as (select cast(sum(scaf_len) as bigint) as total from scaffolds),
+k as (select round, (select count(*) from i where i.round = m.round) as n_events, cast(sum(e - s - unit) as bigint) as removed from m group by round),
+o as (select k.*, total, total - cast(sum(removed) over (order by round) as bigint) as after, lag(coalesce(active, 0)) over (order by round) as prev, row_number() over (order by round) as nth from k left join win using (round), t),
+r as (select *, after + removed as before, case when nth = 1 then total else prev end as active_bp from o)
+select round, n_events, removed, before, after, cast(round_even(10000 * removed / before, 0) as bigint) as round_permyriad, cast(round_even(10000 * (total - after) / total, 0) as bigint) as total_permyriad, active_bp, total - active_bp as skipped_bp from r""")
+def scan_report(spark, d):
+    """What each round of detections takes out, and how much is scanned again after it."""
+    a = alignments(spark, d).where("round is not null and r1e is not null").join(table(spark, d, "scaffolds").select(F.col("seq_index").alias("scaffold_idx")), "scaffold_idx", "left_semi")
+    placed = a.select("round", (F.col("round").cast("long") * 2**32 + F.col("scaffold_idx")).alias("entity"), F.col("r1s").alias("orig_start"), F.col("r2e").alias("orig_end"), F.greatest(F.col("r1e") - F.col("r1s"), F.lit(0)).alias("unit_len"))
+    return scan_stats(placed, table(spark, d, "scaffolds"))
+
+
 @query(f"""with {ALIGNS}, c as (select scaffold_idx, round, count(*) as n, cast(sum(r2e - r1s) as bigint) as total, max(r2e - r1s) as longest from x where round is not null group by scaffold_idx, round)
 select 'A' as line, cast(scaffold_idx as bigint) as grp, cast(sum(n) as bigint) as n, cast(sum(total) as bigint) as total, max(longest) as longest from c group by scaffold_idx""")
 def line_counts(spark, d):

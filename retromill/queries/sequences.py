@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retromill.functions import dna
+from retromill.functions import dna, labels
 from retromill.operators import seeds, stats
 from retromill.queries.registry import query
 from retromill.shared import table
@@ -31,6 +31,24 @@ def homopolymer_compressed(spark, d):
     return records(spark, d, "full_seq").select("name", dna.homopolymer_compress(F.col("full_seq")).alias("hoco"))
 
 
+@query("""with {records} select name, full_seq as seq, (select count(*) from unnest(range(1, length(full_seq) + 1)) t(i) where i = 1 or substr(full_seq, i, 1) <> substr(full_seq, i - 1, 1)) as n_runs from r""")
+def homopolymer_expanded(spark, d):
+    """Elements compressed to one letter for each run, and expanded again by the lengths of the runs."""
+    r = records(spark, d, "full_seq")
+    packed = r.select("name", dna.homopolymer_compress(F.col("full_seq")).alias("hoco"), dna.homopolymer_lengths(F.col("full_seq")).alias("runs"))
+    return packed.select("name", dna.homopolymer_expand(F.col("hoco"), F.col("runs")).alias("seq"), F.size("runs").cast("long").alias("n_runs"))
+
+
+@query("""with {records}, p as (select name, 'genomes/' || coalesce(genome, 'none') || '-1_' || name || case when round = 1 then '.pri.1.fa.gz' when round = 2 then '.alt.fa' else '.fa.gz' end as path from r)
+select name, split_part(split_part(path, '/', 2), '.', 1) as label, case when contains(path, '.pri.') then '.pri' when contains(path, '.alt.') then '.alt' else '' end as haplotype, regexp_replace(split_part(split_part(path, '/', 2), '.', 1), '[-_.]', '', 'g') as safe from p""")
+def genome_labels(spark, d):
+    """Label, haplotype and safe label of files named by genome, element and round."""
+    end = F.when(F.col("round") == 1, ".pri.1.fa.gz").when(F.col("round") == 2, ".alt.fa").otherwise(".fa.gz")
+    p = records(spark, d, "round", plain=("genome",)).select("name", F.concat(F.lit("genomes/"), F.coalesce("genome", F.lit("none")), F.lit("-1_"), "name", end).alias("path"))
+    label = labels.genome_label(F.col("path"))
+    return p.select("name", label.alias("label"), labels.haplotype_tag(F.col("path")).alias("haplotype"), labels.gml_safe(label).alias("safe"))
+
+
 @query("""with {records}, o as (select name, full_seq as s from r),
 x as (select name, s, unnest(range(1, length(s) + 1)) as i from o),
 y as (select name, i, substr(s, i, 1) as base from x where i = 1 or substr(s, i, 1) <> substr(s, i - 1, 1)),

@@ -76,6 +76,13 @@ def bucket_sizes(spark, d):
     return seeds.bucket_sizes(seeds.word_counts(al.ltr_sides(e, n), "id", "seq"))
 
 
+@query(f"with {ELEMENTS}, {postings_sql('post', 'sides')} select case when size <= 20 then size end as size, count(*) as n_words from (select word, count(*) as size from post group by word having count(*) >= 2) group by 1")
+def bucket_overflow(spark, d):
+    """How many words 2 to 20 repeats share, and how many more than 20 do."""
+    e, n = elements(spark, d)
+    return seeds.bucket_histogram(seeds.word_counts(al.ltr_sides(e, n), "id", "seq"), 20)
+
+
 @query(f"with {ELEMENTS}, lefts as (select elem as id, ltr5 as seq from el), {postings_sql('post', 'lefts')}, {events_sql('ev', 'post', 50)} select i, j, cast(pi as int) as pi, cast(pj as int) as pj from ev")
 def seed_events(spark, d):
     """Every word that two left repeats share, with its positions."""
