@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retromill.operators.coordinates import number_rows
@@ -19,9 +19,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     e, facts = materialize(e, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum"))
 
     def star(rows: DataFrame, total: int) -> DataFrame:
+        if total <= FEW:  # no key can be hot, so the rows of each meet in one task
+            return rows.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
         low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
-        if total <= FEW:  # no key can be hot, so nothing is read twice
-            return rows.join(low, "u")
         low, seen = materialize(low)
         used.append(seen["path"])
         return join_hot_keys(rows, low, "u", "deg", total)
@@ -30,9 +30,12 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         used: list[str] = [facts["path"]]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, 2 * facts["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large, seen = materialize(large, F.count(F.lit(1)).alias("n"))
-        used.append(seen["path"])
-        small = star(large, seen["n"])
+        most = facts["n"]  # an edge gives one at most
+        if most > FEW:
+            large, seen = materialize(large, F.count(F.lit(1)).alias("n"))
+            used.append(seen["path"])
+            most = seen["n"]
+        small = star(large, most)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         after, now = materialize(small, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("sum"))
         for path in used:
