@@ -239,17 +239,41 @@ def anchored(pairs: DataFrame, a: str, b: str, among: np.ndarray, min_shared: in
 WHOLE = 1 << 22
 
 
-def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10, inverted: bool = False) -> DataFrame:
+def _partners(group: np.ndarray, at: np.ndarray, forward: np.ndarray, source: np.ndarray, least: int, most: int, inverted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For occurrences sorted by ``group`` and ``at``: the indices of those in ``source`` and of their next one of the group,
+    on the other strand if ``inverted``, at a distance of ``least`` to ``most``."""
+    place = group.astype(np.int64) << 33 | at
+    a, b = [], []
+    for strand in (True, False) if inverted else (None,):
+        mine = np.flatnonzero(source if strand is None else source & (forward == strand))
+        other = np.arange(len(place)) if strand is None else np.flatnonzero(forward != strand)
+        if not len(mine) or not len(other):
+            continue
+        k = np.searchsorted(place[other], place[mine] + least)
+        mine, k = mine[k < len(other)], k[k < len(other)]
+        near = place[other[k]] - place[mine] <= most
+        a.append(mine[near])
+        b.append(other[k[near]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: int = 200, most: int = 30_000, width: int = 64, hits: int = 10, inverted: bool = False, over: bool = False) -> DataFrame:
     """Two similar copies on one sequence, as of an element's two long repeats: ``id``, ``diagonal``
     (the distance of the copies, in bins of ``width``), ``n_words``, ``first_pos``, ``last_pos`` (of the
     first copy) for bins with at least ``hits`` words that recur at a distance of ``least`` to ``most``.
     With ``inverted`` the second copy is read on the other strand, and ``diagonal`` is the sum of both
     positions. A word is paired with its next occurrence on the sequence only, so repeats of many units
-    give rows in proportion to the sequence. With a small ``least`` it shows tandem arrays. The words of a sequence longer
+    give rows in proportion to the sequence; with ``over`` it is its next occurrence at ``least`` or more, so one that recurs nearby too
+    is not passed over. With a small ``least`` it shows tandem arrays. The words of a sequence longer
     than ``WHOLE``, such as a chromosome, are met by a shuffle, those of others in the task that reads them."""
 
     def paired(s: np.ndarray, word: np.ndarray, at: np.ndarray, forward: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(s.astype(np.int64) << 24 | word, kind="stable")
+        if over:
+            group = np.zeros(len(order), np.int64)
+            group[begins(s[order], word[order])[1:]] = 1
+            a, b = _partners(np.cumsum(group), at[order], forward[order], np.ones(len(order), bool), least, most, inverted)
+            return order[a], order[b]
         a, b = order[:-1], order[1:]
         far = at[b] - at[a]
         hit = (s[a] == s[b]) & (word[a] == word[b]) & (far >= least) & (far <= most)
@@ -282,6 +306,24 @@ def repeat_diagonals(rows: DataFrame, id_: str, seq: str, k: int = 12, least: in
     every = rows.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(seq), F.lit("")).alias("seq"))
     found = every.where(F.length("seq") <= WHOLE).mapInArrow(near, "id long, diagonal long, pos long")
     long_ = every.where(F.length("seq") > WHOLE).mapInArrow(words, "id long, word long, at long, forward boolean")
+    if over:
+        span = most + 1
+        own = F.floor(F.col("at") / span)
+        bins = long_.withColumn("own", own).withColumn("bin", F.explode(F.array("own", F.col("own") - 1)))  # a partner is in the same bin or the next
+        bins = bins.select("id", "word", "bin", "at", "forward", (F.col("bin") == F.col("own")).alias("source"))
+
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in whole_groups(batches, "id", "word", "bin"):
+                keys = [numbers(t, c) for c in ("id", "word", "bin")]
+                group = np.zeros(t.num_rows, np.int64)
+                group[begins(*keys)[1:]] = 1
+                at, forward, source = numbers(t, "at"), numbers(t, "forward") > 0, numbers(t, "source") > 0
+                a, b = _partners(np.cumsum(group), at, forward, source, least, most, inverted)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][a]), pa.array((at[b] + at[a] if inverted else at[b] - at[a]) // width), pa.array(at[a])], ["id", "diagonal", "pos"])
+
+        far = spread(bins, "id", "word", "bin").sortWithinPartitions("id", "word", "bin", "at").mapInArrow(binned, "id long, diagonal long, pos long")
+        bins = found.unionByName(far).groupBy("id", "diagonal").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+        return bins.where(F.col("n_words") >= hits)
     w = Window.partitionBy("id", "word").orderBy("at")
     long_ = long_.select("id", F.col("at").alias("pos"), F.lead("at").over(w).alias("next"), (F.col("forward") != F.lead("forward").over(w)).alias("turned"))
     long_ = long_.where(F.col("next") - F.col("pos") >= least).where(F.col("next") - F.col("pos") <= most).where(F.col("turned") if inverted else F.lit(True))

@@ -215,3 +215,22 @@ select name, (loc + nxt) // 64 as diagonal, count(*) as n_words, min(loc) as fir
 def inverted_repeats(spark, d):
     """Copies on the other strand of one element, by the sum of both positions."""
     return _recurring(spark, d, least=50, hits=2, inverted=True)
+
+
+def over_sql(least: int) -> str:
+    """The next occurrence of a word at ``least`` bases or more, as an as-of join."""
+    return f"y as (select v.name, v.loc, u.loc - v.loc as far from v asof join v u on v.name = u.name and v.w = u.w and v.loc + {least} <= u.loc)"
+
+
+@query(f"""with {RECUR}, {over_sql(200)}
+select name, far // 64 as diagonal, count(*) as n_words, min(loc) as first_pos, max(loc) as last_pos from y where far <= 30000 group by 1, 2 having count(*) >= 10""")
+def distant_repeats(spark, d):
+    """Two similar copies within one element, also where their words recur nearby as well."""
+    return _recurring(spark, d, over=True)
+
+
+@query(f"""with {RECUR}, t as (select *, w = c as fwd from v), y as (select v.name, v.loc, u.loc as nxt from t v asof join t u on v.name = u.name and v.c = u.c and (not v.fwd) = u.fwd and v.loc + 50 <= u.loc)
+select name, (loc + nxt) // 64 as diagonal, count(*) as n_words, min(loc) as first_pos, max(loc) as last_pos from y where nxt - loc <= 30000 group by 1, 2 having count(*) >= 2""")
+def distant_inverted_repeats(spark, d):
+    """Copies on the other strand of one element, also where their words recur nearby as well."""
+    return _recurring(spark, d, least=50, hits=2, inverted=True, over=True)

@@ -78,8 +78,27 @@ def test_long_sequences_are_searched_by_a_shuffle(spark, monkeypatch):
     turned = a.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     rows = [(1, a + new(500) + a), (2, a + "N" + new(400) + turned), (3, unit * 12), (4, None), (5, "ACGT"), (6, new(200))]
     df = spark.createDataFrame(rows, "id long, seq string")
-    for how in ({}, {"inverted": True}, {"least": 2, "most": 100, "width": 1}):
+    for how in ({}, {"inverted": True}, {"least": 2, "most": 100, "width": 1}, {"over": True}, {"over": True, "inverted": True}, {"over": True, "least": 50, "most": 90, "width": 1}):
         monkeypatch.setattr(seeds, "WHOLE", 1 << 22)
         want = sorted(tuple(r) for r in seeds.repeat_diagonals(df, "id", "seq", **how).collect())
         monkeypatch.setattr(seeds, "WHOLE", 150)
         assert want and sorted(tuple(r) for r in seeds.repeat_diagonals(df, "id", "seq", **how).collect()) == want
+
+
+def test_words_that_recur_nearby_are_paired_with_the_next_far_enough(spark):
+    rng = random.Random(6)
+    new = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    near = new(60)
+    seq = near + near + new(300) + near + new(30)
+    df = spark.createDataFrame([(1, seq), (2, None), (3, ""), (4, "ACGTNNNN"), (5, seq), (5, seq[:20])], "id long, seq string")
+    want = {}
+    for a in range(len(seq) - 11):
+        for b in range(a + 200, min(a + 501, len(seq) - 11)):
+            if seq[a : a + 12] == seq[b : b + 12]:
+                n, first, last = want.get(b - a, (0, a, a))
+                want[b - a] = (n + 1, min(first, a), max(last, a))
+                break
+    found = seeds.repeat_diagonals(df, "id", "seq", least=200, most=500, width=1, over=True).where("id = 1").collect()
+    assert {(r["diagonal"], (r["n_words"], r["first_pos"], r["last_pos"])) for r in found} == {(d, x) for d, x in want.items() if x[0] >= 10} and len(found) == 2
+    plain = seeds.repeat_diagonals(df, "id", "seq", least=200, most=500, width=1).where("id = 1").collect()
+    assert len(plain) == 1
